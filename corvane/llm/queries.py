@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import classifier, decontam, neardup, rules
+from corvane.llm import classifier, decontam, langid, neardup, packing, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -96,3 +96,13 @@ SELECT doc_id, lang, n_chars, n_words, class_distance, word_distance,
        n_words > 0 AND coalesce(class_distance <= {rules.MAX_CLASS_DISTANCE}, TRUE) AND coalesce(word_distance <= {rules.MAX_WORD_DISTANCE}, TRUE) AS keep
 FROM c LEFT JOIN cd USING (doc_id) LEFT JOIN wd USING (doc_id)
 """
+
+
+@query
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(table(spark, sf_dir, "documents"))
