@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corvane.llm import classifier, decontam, langid, neardup, packing, rules
+from corvane.llm import classifier, decontam, langid, licenses, neardup, packing, records, rules, shared, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -21,6 +22,11 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+@query
+def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -54,6 +60,22 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records_ = warc.records_of(table(spark, sf_dir, "pages"))
+    rebuilt = warc.rebuild(warc.headers(records_), warc.payloads(records_))
+    return rebuilt.select(F.col("record_id").alias("page_id"), "digest", "verified", "n_bytes", F.col("record").cast("string").alias("record"))
+
+
+ORACLE["op5_warc"] = r"""
+WITH p AS (SELECT page_id, url, html, sha256(html) AS digest, octet_length(encode(html)) AS n FROM pages),
+r AS (SELECT page_id, digest, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+  || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'WARC-Payload-Digest: sha256:' || digest || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10)
+  || 'Content-Length: ' || n || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM p)
+SELECT page_id, digest, TRUE AS verified, CAST(octet_length(encode(record)) AS BIGINT) AS n_bytes, record FROM r
+"""
+
+
 @query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(table(spark, sf_dir, "documents"))
@@ -106,3 +128,32 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(table(spark, sf_dir, "documents"))
+
+
+#: Hosts whose pages make the list of op9_url_filter, without "www.", "m." and "blog.".
+LISTED_HOSTS = ("free-bets.example.com", "casino-win.example.com", "spam-farm.example.com", "adult-x.example.net", "ads-track.example.com", "cheap-pills.example.com")
+_BARE_HOST = r"//(?:www\.|m\.|blog\.)?([^/:?#]+)"
+
+
+@query
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    listed = pages.where(F.regexp_extract("url", _BARE_HOST, 1).isin(*LISTED_HOSTS)).select("url")
+    return urlfilter.filtered(pages, listed)
+
+
+ORACLE["op9_url_filter"] = rf"""
+WITH a AS (SELECT page_id, url, regexp_replace(url, '#.*$', '') AS bare FROM pages),
+b AS (SELECT page_id, url, bare, regexp_replace(lower(regexp_extract(bare, '{urlfilter.AUTHORITY}([^/?:]+)', 1)), '^www\.', '') AS host,
+  regexp_replace(regexp_extract(bare, '{urlfilter.AUTHORITY}[^/?:]+(:[0-9]*)', 1), '^:(?:80|443)?$', '') AS port,
+  regexp_replace(regexp_replace(regexp_extract(bare, '{urlfilter.AUTHORITY}[^/?]*([^?]*)', 1), '/index\.html?$', '/'), '/+$', '') AS path,
+  list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '{urlfilter.TRACKING}'))) AS q FROM a),
+c AS (SELECT page_id, url, CASE WHEN host <> '' THEN host || port || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS canonical FROM b),
+l AS (SELECT DISTINCT canonical FROM c WHERE regexp_extract(url, '{_BARE_HOST}', 1) IN {LISTED_HOSTS})
+SELECT page_id, canonical, canonical IS NOT NULL AND canonical IN (SELECT canonical FROM l WHERE canonical IS NOT NULL) AS blocked FROM c
+"""
+
+
+@query
+def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.write_records(table(spark, sf_dir, "documents"), shared.new_path(spark, "tokens"))
