@@ -184,4 +184,4 @@ def _joined(docs: DataFrame, items: DataFrame, schema: str) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that share no span with any benchmark item, all columns kept."""
     gone = shared_spans(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(gone, docs[f"`{id_col}`"].eqNullSafe(gone["_gone"]), "left_anti")

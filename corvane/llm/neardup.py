@@ -314,4 +314,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those that near_duplicates() lists, all columns kept."""
     gone = near_duplicates(docs, id_col, text_col).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[f"`{id_col}`"] == gone["_gone"], "left_anti")
