@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm import shared
@@ -102,7 +102,7 @@ def chunk_keys(sig: np.ndarray) -> np.ndarray:
     return out
 
 
-def _listed(rows: DataFrame) -> DataFrame:
+def _listed(rows: DataFrame, with_sig: bool = True) -> DataFrame:
     """(key, node, sig): a row for each signature under each of its keys, for rows of (node, sig)."""
     kind = rows.schema["node"].dataType.simpleString()
 
@@ -111,11 +111,24 @@ def _listed(rows: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 keys = chunk_keys(_matrix(part.column("sig")))
-                n = keys.shape[1]
-                again = pa.array(np.repeat(np.arange(part.num_rows), n))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), part.column("node").take(again), part.column("sig").take(again)], names=["key", "node", "sig"])
+                again = pa.array(np.repeat(np.arange(part.num_rows), keys.shape[1]))
+                columns = {"key": pa.array(keys.reshape(-1).view(np.int64)), "node": part.column("node").take(again)}
+                if with_sig:
+                    columns["sig"] = part.column("sig").take(again)
+                yield pa.RecordBatch.from_pydict(columns)
 
-    return rows.select("node", "sig").mapInArrow(make, f"key bigint, node {kind}, sig binary")
+    return rows.select("node", "sig").mapInArrow(make, f"key bigint, node {kind}" + ", sig binary" * with_sig)
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    """The rows (node, sig) that share a key with another row.
+
+    Most documents of a corpus share none, so the keys are first shuffled without
+    signatures; those of the candidates alone travel with their keys afterwards.
+    """
+    of_key = Window.partitionBy("key")
+    several = _listed(rows, with_sig=False).withColumn("n", F.count("*").over(of_key)).where("n > 1").select("node").distinct()
+    return rows.join(several, "node", "left_semi")
 
 
 def _by_key(rows: DataFrame, handle, schema: str) -> DataFrame:
@@ -195,7 +208,7 @@ def _edges(rows: DataFrame, distance: int) -> DataFrame:
         real = low != high
         yield pa.RecordBatch.from_arrays([nodes.take(pa.array(high[real])), nodes.take(pa.array(low[real]))], names=["a", "b"])
 
-    return _by_key(_listed(rows), handle, f"a {kind}, b {kind}").where("a <> b")
+    return _by_key(_listed(_candidates(rows)), handle, f"a {kind}, b {kind}").where("a <> b")
 
 
 def near_pairs(sigs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id") -> DataFrame:
@@ -221,7 +234,7 @@ def near_pairs(sigs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id"
                     left, right = nodes.take(pa.array(np.full(len(take), s + i))), nodes.take(pa.array(take + s + i + 1))
                     yield pa.RecordBatch.from_arrays([pc.min_element_wise(left, right), pc.max_element_wise(left, right), pa.array(apart[take].astype(np.int32))], names=["a", "b", "distance"])
 
-    return _by_key(_listed(rows), handle, f"a {kind}, b {kind}, distance int").where("a < b")
+    return _by_key(_listed(_candidates(rows)), handle, f"a {kind}, b {kind}, distance int").where("a < b")
 
 
 def _contract(edges: DataFrame) -> DataFrame:
@@ -302,10 +315,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if distance > DISTANCE:
         raise ValueError(f"the chunks guarantee distances up to {DISTANCE}")
     kept = shared.materialize(signatures(docs, id_col, text_col), "signatures")
-    distinct = kept.groupBy("sig").agg(F.min("doc_id").alias("node"))
+    distinct = shared.materialize(kept.groupBy("sig").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "distinct")
     roots = components(_edges(distinct.select("node", "sig"), distance)).where("node <> root")
-    same = kept.groupBy("sig").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
-    exact = kept.join(same.where("n > 1"), "sig").where("doc_id <> node").select("doc_id", "node")
+    exact = kept.join(distinct.where("n > 1").select("sig", "node"), "sig").where("doc_id <> node").select("doc_id", "node")
     nodes = exact.unionByName(roots.select(F.col("node").alias("doc_id"), "node"))
     found = nodes.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("duplicate_of"))
     return found.groupBy("doc_id").agg(F.min("duplicate_of").alias("duplicate_of")).where("doc_id <> duplicate_of")
