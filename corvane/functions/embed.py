@@ -68,11 +68,15 @@ def bow(texts: list[str | None]) -> np.ndarray:
     return out
 
 
-@F.arrow_udf("array<float>")
-def bow_array(texts: pa.Array) -> pa.Array:
-    """bow_vector() in batches, for longer texts."""
-    counts = bow(texts.to_pylist())
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * DIM), pa.array(counts.reshape(-1)))
+def bow_array(text: Column) -> Column:
+    """bow_vector() in Arrow batches, for longer texts."""
+
+    @F.arrow_udf("array<float>")
+    def vectors(texts: pa.Array) -> pa.Array:
+        counts = bow(texts.to_pylist())
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * DIM), pa.array(counts.reshape(-1)))
+
+    return vectors(text)
 
 
 # -- remote ----------------------------------------------------------------------------------------
