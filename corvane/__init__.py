@@ -1 +1,3 @@
 """Retrieval diagnostics as DataFrame programs."""
+
+__version__ = "0.1.0"

@@ -1 +1 @@
-
+"""Nothing yet: all analyses are batch programs."""
