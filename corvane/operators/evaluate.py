@@ -51,7 +51,12 @@ def matched(rules: DataFrame, runs: DataFrame) -> DataFrame:
     plain_rules = rules.select("rule_ord", T.bare_id(F.col("id")).alias("i"), T.squeezed(F.col("question")).alias("q")).orderBy("rule_ord").collect()
     file_name = F.regexp_extract("run_id", r"([^/]*)$", 1)
     own_stem = F.when(file_name.rlike(r"^.+\.[^.]*$"), F.regexp_replace(file_name, r"\.[^.]*$", "")).otherwise(file_name)
-    plain_runs = runs.select("run_ord", F.array(T.bare_id(F.col("run_id")), T.bare_id(own_stem)).alias("ids"), T.squeezed(F.col("question")).alias("q")).orderBy("run_ord").collect()
+    plain_runs = runs.select("run_ord", F.array(T.bare_id(F.col("run_id")), T.bare_id(own_stem)).alias("ids"), T.squeezed(F.col("question")).alias("q"))
+    # Only runs that some rule could take are gathered: by either of their ids, or by their question.
+    known = F.broadcast(spark.createDataFrame([(x,) for x in sorted({r["i"] for r in plain_rules})], "i string")), F.broadcast(spark.createDataFrame([(x,) for x in sorted({r["q"] for r in plain_rules})], "k string"))
+    by_id = plain_runs.withColumn("i", F.explode("ids")).join(known[0], "i", "left_semi").drop("i")
+    by_question = plain_runs.join(known[1], F.col("q") == F.col("k"), "left_semi")
+    plain_runs = by_id.union(by_question).distinct().orderBy("run_ord").collect()
     pairs = match([tuple(r) for r in plain_rules], [(r["run_ord"], r["ids"], r["q"]) for r in plain_runs])
     return spark.createDataFrame(list(pairs.items()), "rule_ord int, run_ord bigint")
 

@@ -209,19 +209,39 @@ def pair_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     return pairs.select("query_id", "query_ord", "doc_ord", "doc_id", "pos", "token_count", *[v.alias(k) for k, v in parts.items()])
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, rank, score): cosine neighbours of query vectors among vectors, in double precision.
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, max_queries: int = MAX_QUERIES, digits: int = 6) -> DataFrame:
+    """(query_id, vec_id, rank, score): the k nearest vectors of every query vector by cosine, ties to the lesser id.
 
-    queries: (query_id, vector); vectors: (vec_id, vector).  Sums run in the order of the places, so they are repeatable.
+    queries: (query_id, vector); vectors: (vec_id, vector).  Exact: every pair is scored in double precision, a batch
+    of vectors against a block of queries at a time, and a task keeps the best of each query and batch.
     """
-    double = lambda v: F.transform(v, lambda x: x.cast("double"))
-    size = lambda v: F.sqrt(F.aggregate(double(v), F.lit(0.0), lambda a, x: a + x * x))
-    q = F.broadcast(queries.select("query_id", double(F.col("vector")).alias("qv"), size(F.col("vector")).alias("qn")))
-    v = vectors.select("vec_id", double(F.col("vector")).alias("vv"), size(F.col("vector")).alias("vn"))
-    dot = F.aggregate(F.zip_with("qv", "vv", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    pairs = v.crossJoin(q).select("query_id", "vec_id", F.when(F.col("qn") * F.col("vn") == 0, F.lit(0.0)).otherwise(F.round(dot / (F.col("qn") * F.col("vn")), 6)).alias("score"))
+    rows = queries.select("query_id", "vector").orderBy("query_id").toArrow()
+    kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema["vec_id"].dataType.simpleString()
+    made = []
+
+    def unit(column: pa.Array) -> np.ndarray:
+        v = np.array(column.to_pylist(), np.float64).reshape(len(column), -1)
+        size = np.sqrt((v * v).sum(1, keepdims=True))
+        return np.divide(v, size, out=np.zeros_like(v), where=size > 0)
+
+    for at in range(0, max(rows.num_rows, 1), max_queries):
+        part = rows.slice(at, max_queries)
+        held = vectors.sparkSession.sparkContext.broadcast((part.column("query_id").combine_chunks(), unit(part.column("vector").combine_chunks())))
+
+        def score(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            ids, q = held.value
+            for batch in batches:
+                if not len(q) or not batch.num_rows:
+                    continue
+                for start in range(0, batch.num_rows, 1024):
+                    own = batch.slice(start, 1024)
+                    scores = np.round(unit(own.column(1)) @ q.T, digits) + 0.0
+                    row, col = _best(scores, k)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(col)), own.column(0).take(pa.array(row)), pa.array(scores[row, col])], names=["query_id", "vec_id", "score"])
+
+        made.append(vectors.select("vec_id", "vector").mapInArrow(score, f"query_id {kinds[0]}, vec_id {kinds[1]}, score double"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return reduce(DataFrame.unionByName, made).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def corpus_chunks(documents: DataFrame, config: Config) -> DataFrame:

@@ -72,8 +72,8 @@ TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 @query(rf"""
 WITH c AS (SELECT len({DOC_WORDS}) AS t, text FROM documents),
 s AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS n FROM c)
-SELECT (SELECT count(*) FROM documents) AS documents, count(*) AS chunks, round(CAST(CAST(avg(t) AS FLOAT) AS DOUBLE), 3) AS avg_tokens, min(t) AS min_tokens, max(t) AS max_tokens,
-  (SELECT max(t) FROM s WHERE i = floor(0.5 * (n - 1) + 0.5)) AS p50_tokens, (SELECT max(t) FROM s WHERE i = floor(CAST(CAST(0.95 AS FLOAT) * CAST(n - 1 AS FLOAT) AS DOUBLE) + 0.5)) AS p95_tokens,
+SELECT (SELECT count(*) FROM documents) AS documents, count(*) AS chunks, round(CAST(CAST(avg(t) AS FLOAT) AS DOUBLE), 3) AS avg_tokens, CAST(min(t) AS INTEGER) AS min_tokens, CAST(max(t) AS INTEGER) AS max_tokens,
+  (SELECT CAST(max(t) AS INTEGER) FROM s WHERE i = floor(0.5 * (n - 1) + 0.5)) AS p50_tokens, (SELECT CAST(max(t) AS INTEGER) FROM s WHERE i = floor(CAST(CAST(0.95 AS FLOAT) * CAST(n - 1 AS FLOAT) AS DOUBLE) + 0.5)) AS p95_tokens,
   count(*) FILTER (t > 1200) AS large_chunks, count(*) FILTER (t < 60) AS small_chunks, count(*) - count(DISTINCT text) AS duplicate_chunks
 FROM c
 """)
@@ -324,15 +324,14 @@ def chunk_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnose.overlaps(chunking.chunks(rows, CONFIG.chunk_size, CONFIG.chunk_overlap)).select("doc_id", "pos", "overlap")
 
 
-@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings), q AS (SELECT vec_id AS query_id, v AS qv FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM v) WHERE n = 1),
-s AS (SELECT query_id, vec_id, round(list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i] * qv[i])) / (sqrt(list_sum(list_transform(qv, lambda x: x * x))) * sqrt(list_sum(list_transform(v, lambda x: x * x)))), 6) AS score FROM v CROSS JOIN q),
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS size FROM embeddings),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.v, b.v) / (a.size * b.size), 6) AS score FROM v a CROSS JOIN v b),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) SELECT query_id, vec_id, rank, score FROM r WHERE rank <= 10""")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest neighbours of the first vector of every label."""
+    """The ten nearest neighbours of every vector, itself among them."""
     rows = table(spark, sf_dir, "embeddings")
-    first = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-    queries = rows.withColumn("n", first).where("n = 1").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return retrieve.vector_topk(queries, rows.select("vec_id", F.col("embedding").alias("vector")), 10)
+    vectors = rows.select("vec_id", F.col("embedding").alias("vector"))
+    return retrieve.vector_topk(vectors.withColumnRenamed("vec_id", "query_id"), vectors, 10).select("query_id", "vec_id", "rank", "score")
 
 
 # -- audit -----------------------------------------------------------------------------------------
@@ -406,7 +405,7 @@ NAMES_ROW = f"(list_contains({ANSWER_TOKENS}, lower(l_returnflag)) OR list_has_a
 t3 AS (SELECT *, {NAMES_ROW} AS named FROM dr ORDER BY abs(delta) DESC, n_name, l_returnflag LIMIT 3),
 top AS (SELECT {NAMES_ROW} AS named FROM dr WHERE sign(delta) = sign(total) ORDER BY abs(delta) DESC LIMIT 1),
 m AS (SELECT CASE WHEN (SELECT named FROM top) THEN 0 ELSE 1 END AS m)
-SELECT CASE WHEN c > 0 OR m > 0 THEN 'INCORRECT' WHEN w > 0 OR n = 0 THEN 'RISKY' ELSE 'SUPPORTED' END AS verdict, round(greatest(0, least(1, 1 - 0.4 * c - 0.3 * m - 0.1 * w)), 6) AS alignment_score,
+SELECT CASE WHEN c > 0 OR m > 0 THEN 'INCORRECT' WHEN w > 0 OR n = 0 THEN 'RISKY' ELSE 'SUPPORTED' END AS verdict, CAST(round(greatest(0, least(1, 1 - 0.4 * c - 0.3 * m - 0.1 * w)), 6) AS DOUBLE) AS alignment_score,
   CASE WHEN c > 0 OR m > 0 THEN 'HIGH' WHEN w > 0 OR n = 0 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, round((SELECT avg(CASE WHEN named THEN 100.0 ELSE 0 END) FROM t3), 6) AS coverage_pct FROM c, m""")
 def audit_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     request = audit.Request(("n_name", "l_returnflag"), "revenue", "ship_date", *MONTHS, ANSWER, "month")
