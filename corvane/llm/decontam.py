@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,11 +133,9 @@ def shared_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = shared.plain(benchmark, item_id=item_col, item_text=item_text_col).where("item_text IS NOT NULL")
     kinds = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, spans int, longest int, start int"
-    size = items.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
-    if size > broadcast_bytes:
+    bench = _held(items, broadcast_bytes)
+    if bench is None:
         return _joined(docs, items, schema)
-    held = items.toArrow()
-    bench = docs.sparkSession.sparkContext.broadcast(Benchmark(held.column("item_id").combine_chunks(), held.column("item_text")))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bench.value
@@ -147,6 +146,15 @@ def shared_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return docs.mapInArrow(scan, schema)
 
 
+def _held(items: DataFrame, broadcast_bytes: int) -> Broadcast | None:
+    """The benchmark for every worker, or None where it is larger than that."""
+    size = items.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
+    if size > broadcast_bytes:
+        return None
+    held = items.toArrow()
+    return items.sparkSession.sparkContext.broadcast(Benchmark(held.column("item_id").combine_chunks(), held.column("item_text")))
+
+
 def _joined(docs: DataFrame, items: DataFrame, schema: str) -> DataFrame:
     """The way for a benchmark of any size: join fingerprints, then extend each candidate pair."""
 
@@ -181,7 +189,25 @@ def _joined(docs: DataFrame, items: DataFrame, schema: str) -> DataFrame:
     return whole.select("doc_id", "text", "item_id", "item_text").mapInArrow(extend, schema)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that share no span with any benchmark item, all columns kept."""
-    gone = shared_spans(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[f"`{id_col}`"].eqNullSafe(gone["_gone"]), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The documents that share no span with any benchmark item, all columns kept.
+
+    With a benchmark that every worker holds this is a filter, row by row.  A larger one
+    gives a list of ids, and documents are kept by a join: then rows go with their id, so
+    a repeated id goes with all its rows.
+    """
+    items = shared.plain(benchmark, item_id=item_col, item_text=item_text_col).where("item_text IS NOT NULL")
+    bench = _held(items, broadcast_bytes)
+    if bench is None:
+        found = shared_spans(docs, benchmark, id_col, text_col, item_col, item_text_col, broadcast_bytes)
+        gone = shared.materialize(found.select(F.col("doc_id").alias("_gone")).distinct(), "leaks")
+        return docs.join(gone, docs[f"`{id_col}`"].eqNullSafe(gone["_gone"]), "left_anti")
+
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        keep = np.ones(len(texts), bool)
+        for places, _ in _rows(pa.array(np.arange(len(texts))), texts, bench.value):
+            keep[np.asarray(places)] = False
+        return pa.array(keep)
+
+    return docs.where(clean(F.col(f"`{text_col}`")))

@@ -297,7 +297,9 @@ def test_texts_that_share_a_span_share_a_fingerprint(a, b):
 def test_decontamination_of_odd_rows(spark, odd, empty):
     bench = spark.createDataFrame([(1, "word " * 20), (2, None), (3, "")], "item_id bigint, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontam.shared_spans(odd, bench).collect()} == {(5, 1)}
-    assert decontam.decontaminate(odd, bench).count() == len(ODD) - 1 and decontam.decontaminate(odd, bench).columns == odd.columns
+    for limit in (0, 1 << 20):
+        kept = decontam.decontaminate(odd, bench, broadcast_bytes=limit)
+        assert kept.count() == len(ODD) - 1 and kept.columns == odd.columns
     for limit in (0, 1 << 20):
         assert decontam.shared_spans(empty, bench, broadcast_bytes=limit).count() == 0
         assert decontam.shared_spans(odd, bench.limit(0), broadcast_bytes=limit).count() == 0
