@@ -325,5 +325,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those that near_duplicates() lists, all columns kept."""
-    gone = near_duplicates(docs, id_col, text_col).select(F.col("doc_id").alias("_gone"))
+    # Written out, the list has a known size, and the planner sends it to every task if that is small enough.
+    gone = shared.materialize(near_duplicates(docs, id_col, text_col).select(F.col("doc_id").alias("_gone")), "copies")
     return docs.join(gone, docs[f"`{id_col}`"] == gone["_gone"], "left_anti")
