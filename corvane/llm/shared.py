@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 20
+BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -62,8 +64,22 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keep the Arrow batches of whole documents small: a worker holds several copies of a batch at once.
+
+    Settings of the session that are stricter stay.
+    """
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(rows)) > BATCH_ROWS or int(spark.conf.get(rows)) <= 0:
+        spark.conf.set(rows, BATCH_ROWS)
+    found = spark.conf.get(size).lower()
+    if found.rstrip("b").isdigit() and int(found.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(size, BATCH_BYTES)
+
+
 def plain(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns under the operator's own names, so extra columns of the input never clash."""
+    small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
