@@ -39,7 +39,7 @@ HIDDEN = 24
 #: Tokens as frequent as this, or more, weigh half or less.
 RARE = 1e-3
 #: Every document also counts the mean token of the corpus, at this weight: short texts stay near the middle.
-PRIOR = 4.0
+PRIOR = 40.0
 #: Documents whose probability of good quality is less are rejected.
 THRESHOLD = 0.3
 _SEED = 20240229
