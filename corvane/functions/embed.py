@@ -79,7 +79,7 @@ def bow_array(text: Column) -> Column:
     return vectors(text)
 
 
-# -- remote ----------------------------------------------------------------------------------------
+# -- remote
 
 
 def rough_tokens(text: str) -> int:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 #: White space of one line, in Unicode's sense.
 BLANK = r"[\s\x{85}\p{Z}]"
 
-EVAL_STOP = "a an and are as at be but by for from if in is it its of on or that the to was were what when where which why with you your".split()
-DIFF_STOP = "a an and are as at be but by did do for from has have if in is it its of on or that the to was were what why with".split()
+_STOP = "a an as at be by if in is it of on or to and are but for its the was why from that were what with"
+EVAL_STOP = f"{_STOP} you when your where which".split()
+DIFF_STOP = f"{_STOP} do did has have".split()
 
 
 def strings(words: list[str] | tuple[str, ...]) -> Column:
@@ -163,4 +164,4 @@ def page_slug(url: Column) -> Column:
     host = F.regexp_replace(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), ":", "_")
     path = F.regexp_replace(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), "^/+|/+$", "")
     named = F.concat(host, F.lit("_"), F.when(path == "", "index").otherwise(F.replace(path, F.lit("/"), F.lit("_"))))
-    return F.concat(F.left(F.regexp_replace(named, r"[^A-Za-z0-9._-]+", "_"), F.lit(180)), F.lit(".txt"))
+    return F.concat(F.left(F.regexp_replace(named, r"[^0-9A-Za-z_.-]+", "_"), F.lit(180)), F.lit(".txt"))

@@ -17,12 +17,12 @@ from corvane.functions import periods as P
 from corvane.functions import text as T
 
 EPSILON = 2.220446049250313e-16
-PERIOD_NAMES = ("period", "date", "time", "month", "quarter", "year", "week")
+PERIOD_NAMES = "period date time month quarter year week".split()
 METRIC_SCORES = (
     (100, "revenue sales gmv arr mrr amount value"), (40, "usd eur gbp jpy money price"), (25, "cost expense spend"),
     (10, "orders units qty"), (-50, "rate ratio pct percent"), (-30, "traffic session visit click impression"),
 )
-PAIRS = (("old", "new"), ("previous", "current"), ("prior", "current"), ("before", "after"), ("baseline", "current"), ("past", "present"), ("t0", "t1"))
+PAIRS = [pair.split(">") for pair in "old>new previous>current prior>current before>after baseline>current past>present t0>t1".split()]
 #: A column with more distinct values than this is neither a period nor a group.
 MOST_VALUES = 100
 
@@ -55,7 +55,7 @@ class Profile:
     n_values: dict[str, int] = field(default_factory=dict)
 
 
-# -- columns and their roles -----------------------------------------------------------------------
+# -- columns and their roles
 
 
 def is_period_name(name: str) -> bool:
@@ -179,7 +179,7 @@ def resolve(facts: DataFrame, answer: str, *, auto: bool = False, granularity: s
     return Request(groups, metric, period_col, baseline, current, answer, granularity, weak_threshold, question), notes
 
 
-# -- drivers and segments --------------------------------------------------------------------------
+# -- drivers and segments
 
 
 def skipped_rows(facts: DataFrame, period_col: str, granularity: str) -> DataFrame:

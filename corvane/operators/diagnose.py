@@ -30,7 +30,7 @@ def finding(severity: Column | str, code: str, message: Column, **data: Column)
     return [(F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), F.lit(code).alias("code"), message.alias("message"), made.alias("data")]
 
 
-# -- of ranked results -----------------------------------------------------------------------------
+# -- of ranked results
 
 
 def top1_frequency(ranked: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def cause_findings(ranked: DataFrame, queries: DataFrame, chunks: DataFrame, doc
     return found.select(*finding("Medium", "DOMINANCE_CAUSE_HINT", message, doc=F.col("doc_id"), rate_topk=F.col("rate_topk"), rate_top1=F.col("rate_top1"), causes=F.col("causes")))
 
 
-# -- of chunks -------------------------------------------------------------------------------------
+# -- of chunks
 
 
 def nearest_ranks(rows: DataFrame, value: str, percents: tuple[int, ...]) -> DataFrame:
@@ -237,7 +237,7 @@ def topic_findings(chunks: DataFrame) -> DataFrame:
     return rows.select(F.when(much, "Medium").otherwise("Low").alias("severity"), F.when(much, "TOPIC_DOMINANCE").otherwise("TOPIC_LOW_COVERAGE").alias("code"), message.alias("message"), F.lit("{}").alias("data"))
 
 
-# -- of documents ----------------------------------------------------------------------------------
+# -- of documents
 
 
 def metadata_missing(documents: DataFrame, keys: tuple[str, ...]) -> DataFrame:

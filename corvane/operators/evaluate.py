@@ -142,7 +142,6 @@ def report(rules: DataFrame, runs: DataFrame, run_input: str, rules_input: str)
 
 
 def regression(current: dict, baseline: dict) -> dict:
-    return {
-        "baseline_pass_rate": baseline["pass_rate"], "current_pass_rate": current["pass_rate"], "pass_rate_delta": current["pass_rate"] - baseline["pass_rate"],
-        "baseline_failed": baseline["failed_cases"], "current_failed": current["failed_cases"], "failed_delta": current["failed_cases"] - baseline["failed_cases"],
-    }
+    sides = {"baseline": baseline, "current": current}
+    out = {f"{side}_{short}": report[key] for short, key in (("pass_rate", "pass_rate"), ("failed", "failed_cases")) for side, report in sides.items()}
+    return out | {f"{short}_delta": out[f"current_{short}"] - out[f"baseline_{short}"] for short in ("pass_rate", "failed")}

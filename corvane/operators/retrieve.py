@@ -174,7 +174,7 @@ def explained(chunks: DataFrame, query: str, top_k: int) -> DataFrame:
     return ranked(chunks, one, top_k).drop("query_id", "query_ord")
 
 
-# -- the same as expressions -----------------------------------------------------------------------
+# -- the same as expressions
 
 
 def components(query_terms: Column, chunk_terms: Column, phrase: Column, token_count: Column, similarity: Column) -> dict[str, Column]:

@@ -20,6 +20,8 @@ from corvane.plans import render as R
 
 NAMES = {"readiness": "readiness", "simulate": "simulation", "chunks": "chunks", "coverage": "coverage", "explain": "explain", "compare-query": "compare", "compare-runs": "compare_runs", "optimize": "optimize", "fix": "fix", "answer-audit": "answer_audit", "diff": "diff", "eval": "eval", "report": "report", "self-test": "self_test"}
 GATED = ("readiness", "simulate")
+CHANGES = "weak-increases no-match-increases similarity-drops regressed query-count-mismatch top1-dominant-rate-increases".split()
+RATE = "top1-dominant-rate-exceeds"
 
 
 def session() -> SparkSession:
@@ -67,8 +69,8 @@ def parser() -> argparse.ArgumentParser:
     add("compare-query", "", ("path", {}), ("--query", need), json_flag, hidden=True)
     add("optimize", "", ("path", {}), ("--queries", need), ("--chunk-sizes", {"type": integers, "default": list(optimize.SIZES)}), ("--chunk-overlaps", {"type": integers, "default": list(optimize.OVERLAPS)}), ("--top-n", {"type": int, "default": 5}), ("--write-config", {}), json_flag, hidden=True)
     add(
-        "compare-runs", "", ("before", {}), ("after", {}), ("--format", {"choices": ("summary", "table"), "default": "summary"}), ("--fail-if-weak-increases", flag), ("--fail-if-no-match-increases", flag), ("--fail-if-similarity-drops", flag),
-        ("--fail-if-regressed", flag), ("--fail-if-top1-dominant-rate-exceeds", {"type": float}), ("--fail-if-top1-dominant-rate-increases", flag), ("--fail-if-query-count-mismatch", flag), json_flag, hidden=True, aliases=("compare", "compare-sim"),
+        "compare-runs", "", ("before", {}), ("after", {}), ("--format", {"choices": ("summary", "table"), "default": "summary"}), 
+        *[(f"--fail-if-{x}", flag) for x in CHANGES], (f"--fail-if-{RATE}", {"type": float}), json_flag, hidden=True, aliases=("compare", "compare-sim"),
     )
     add("self-test", "", ("--docs", {"default": "examples/docs"}), ("--queries", {"default": "examples/queries_structured.txt"}), json_flag, hidden=True)
     add("import-pages", "", ("urls", {}), ("out", {}), ("--timeout", {"type": float, "default": 20}), hidden=True)

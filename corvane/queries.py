@@ -62,7 +62,7 @@ def six(x: Column | str) -> Column:
     return F.round((F.col(x) if isinstance(x, str) else x).cast("double"), 6)
 
 
-# -- text ------------------------------------------------------------------------------------------
+# -- text
 
 WORDS = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda x: x <> '')"
 DOC_WORDS = WORDS.format("text")
@@ -115,7 +115,7 @@ def sentence_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 WITH t AS (SELECT doc_id, regexp_replace(text, '\s+$', '') AS t FROM documents)
-SELECT doc_id, CASE WHEN t = '' THEN FALSE WHEN right(t, 1) IN ('.', '!', '?', '»', '”') THEN FALSE WHEN right(t, 1) IN (',', ';', ':') THEN TRUE
+SELECT doc_id, CASE WHEN t = '' THEN FALSE WHEN contains('.!?»”', right(t, 1)) THEN FALSE WHEN right(t, 1) IN (',', ';', ':') THEN TRUE
   ELSE NOT regexp_matches(regexp_extract(right(t, 200), '[.!?]\s*([^\s.!?])[^.!?]*$', 1), '^\p{Lu}') END AS cut
 FROM t
 """)
@@ -139,7 +139,7 @@ def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.size(T.terms(text)).cast("bigint").alias("terms"), F.size(T.tokens(text)).cast("bigint").alias("tokens"))
 
 
-# -- retrieval -------------------------------------------------------------------------------------
+# -- retrieval
 
 PAIRS = rf"""
 d AS (SELECT doc_id, text, {DOC_WORDS} AS w FROM documents),
@@ -273,7 +273,7 @@ def topic_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"""
 WITH c AS (SELECT len({DOC_WORDS}) AS t, text, regexp_replace(text, '\s+$', '') AS r FROM documents),
 n AS (SELECT count(*) FILTER (t > 1200) AS large, count(*) FILTER (t < 60) AS small, count(*) - count(DISTINCT text) AS dup, count(*) FILTER (t > 60 AND len(regexp_extract_all(text, '(?m)^[^\S\n]*#')) >= 3) AS topics,
-  count(*) FILTER (t > 60 AND CASE WHEN right(r, 1) IN ('.', '!', '?', '»', '”') THEN FALSE WHEN right(r, 1) IN (',', ';', ':') THEN TRUE ELSE NOT regexp_matches(regexp_extract(right(r, 200), '[.!?]\s*([^\s.!?])[^.!?]*$', 1), '^\p{{Lu}}') END) AS cut FROM c)
+  count(*) FILTER (t > 60 AND CASE WHEN contains('.!?»”', right(r, 1)) THEN FALSE WHEN right(r, 1) IN (',', ';', ':') THEN TRUE ELSE NOT regexp_matches(regexp_extract(right(r, 200), '[.!?]\s*([^\s.!?])[^.!?]*$', 1), '^\p{{Lu}}') END) AS cut FROM c)
 SELECT * FROM (SELECT 'Medium' AS severity, 'OVERSIZED_CHUNK' AS code, large AS n FROM n UNION ALL SELECT 'Low', 'TINY_CHUNK', small FROM n UNION ALL SELECT 'Medium', 'MULTI_TOPIC_CHUNK', topics FROM n
   UNION ALL SELECT 'Low', 'SENTENCE_CUT', cut FROM n UNION ALL SELECT 'Medium', 'DUPLICATE_CHUNK', dup FROM n) WHERE n > 0
 """)
@@ -334,7 +334,7 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.vector_topk(vectors.withColumnRenamed("vec_id", "query_id"), vectors, 10).select("query_id", "vec_id", "rank", "score")
 
 
-# -- audit -----------------------------------------------------------------------------------------
+# -- audit
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -429,7 +429,7 @@ def period_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", P.bucketed(raw, "month").alias("month"), P.bucketed(raw, "week").alias("week"))
 
 
-# -- runs ------------------------------------------------------------------------------------------
+# -- runs
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -544,7 +544,7 @@ def run_diff_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "turn", "change_type", "root_cause", "confidence", F.size("added_docs").alias("added"), F.size("removed_docs").alias("removed"), "alignment.current_best_doc_id", six("alignment.current_overlap").alias("overlap"))
 
 
-# -- pages and traces ------------------------------------------------------------------------------
+# -- pages and traces
 
 
 @query(r"""
@@ -558,7 +558,7 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 WITH p AS (SELECT page_id, regexp_replace(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1), ':', '_', 'g') AS host, regexp_replace(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '^/+|/+$', '', 'g') AS path FROM pages)
-SELECT page_id, left(regexp_replace(host || '_' || CASE WHEN path = '' THEN 'index' ELSE replace(path, '/', '_') END, '[^A-Za-z0-9._-]+', '_', 'g'), 180) || '.txt' AS slug FROM p
+SELECT page_id, left(regexp_replace(host || '_' || CASE WHEN path = '' THEN 'index' ELSE replace(path, '/', '_') END, '[^0-9A-Za-z_.-]+', '_', 'g'), 180) || '.txt' AS slug FROM p
 """)
 def page_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.page_slug(F.col("url")).alias("slug"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text as T
 
 EXTENSIONS = ("md", "txt", "html", "json")
-FRONT = r"(?s)\A---\s*\r?\n(.*?)\r?\n---\s*\r?\n?"
+FRONT = r"(?s)\A-{3}\s*\n(.*?)\r?\n-{3}\s*"
 
 
 class SourceError(ValueError):
@@ -116,8 +116,7 @@ def page_documents(pages: DataFrame, url_col: str = "url", html_col: str = "html
             if x is None:
                 out.append(None)
                 continue
-            x = re.sub(r"(?is)<script.*?>.*?</script>", " ", x)
-            x = re.sub(r"(?is)<style.*?>.*?</style>", " ", x)
+            x = re.sub(r"(?is)<(script|style).*?>.*?</\1>", " ", x)
             out.append(" ".join(entities.unescape(re.sub(r"(?s)<[^>]+>", " ", x)).split()))
         return pa.array(out, pa.string())
 

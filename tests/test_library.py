@@ -42,7 +42,7 @@ def run(spark, capsys):
     return call
 
 
-# -- config ----------------------------------------------------------------------------------------
+# -- config
 
 
 def test_config_files_and_overrides(tmp_path):
@@ -64,7 +64,7 @@ def test_bad_settings_are_refused(bad):
         Config(**bad).checked()
 
 
-# -- sources ---------------------------------------------------------------------------------------
+# -- sources
 
 
 def test_documents(spark, tmp_path):
@@ -116,7 +116,7 @@ def test_facts(spark, tmp_path):
 
 
 def test_traces():
-    basic = {"request": {"question": "why"}, "response": {"answer": {"text": "so"}}, "retrieval": {"docs": [{"doc_id": 7, "content": "c", "similarity": "0.5", "url": "u", "metadata": {"k": 1}}, {"text": "t"}]}}
+    basic = {"request": {"question": "why"}, "response": {"answer": {"text": "so"}}, "context": {"docs": [{"doc_id": 7, "content": "c", "similarity": "0.5", "url": "u", "metadata": {"k": 1}}, {"text": "t"}]}}
     run = traces.import_trace(basic, model="m")
     assert run["question"] == "why" and run["answer"] == "so" and run["context"] == {"model": "m", "top_k": None}
     assert run["retrieved_docs"] == [{"id": "7", "text": "c", "score": 0.5, "source": "u", "metadata": {"k": 1}}, {"id": "doc_2", "text": "t", "score": None, "source": None, "metadata": None}]
@@ -152,7 +152,7 @@ def test_pages(spark, tmp_path):
     assert [p.name for p in (tmp_path / "out").iterdir()] == ["one.example_a.txt"]
 
 
-# -- text ------------------------------------------------------------------------------------------
+# -- text
 
 
 def test_text_columns(spark):
@@ -186,7 +186,7 @@ def test_periods_and_figures(spark):
     assert column(spark, ["1,234.5", "$5", "(7)", "$(8)", "($9)", "1d", "x", " -3e2 "], P.metric_of) == [1234.5, 5.0, -7.0, -8.0, None, None, None, -300.0]
 
 
-# -- chunks ----------------------------------------------------------------------------------------
+# -- chunks
 
 
 def test_chunk_sizes_and_overlap():
@@ -216,7 +216,7 @@ def test_chunk_numbers_do_not_depend_on_partitions(spark):
     assert seen[0] == seen[1] and {int(c.split("#")[1]) for c, _ in seen[0]} == set(range(len(seen[0])))
 
 
-# -- embedding -------------------------------------------------------------------------------------
+# -- embedding
 
 
 def test_vectors_agree(spark):
@@ -260,7 +260,7 @@ def test_vector_cache(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "cache")).count() == 2
 
 
-# -- retrieval -------------------------------------------------------------------------------------
+# -- retrieval
 
 
 def slow_score(query, text):
@@ -308,7 +308,7 @@ def test_retrieval_of_nothing(small):
     assert retrieve.ranked(chunks.limit(0), rows, 5).count() == 0 and retrieve.ranked(chunks, rows.limit(0), 5).count() == 0
 
 
-# -- diagnostics -----------------------------------------------------------------------------------
+# -- diagnostics
 
 
 @pytest.fixture(scope="module")
@@ -378,7 +378,7 @@ def test_metadata(spark):
     assert diagnose.metadata_findings(docs, Config(required_metadata=())).count() == 0
 
 
-# -- audit -----------------------------------------------------------------------------------------
+# -- audit
 
 
 def audited(spark, rows, answer, names=("region", "channel", "period", "revenue"), **settings):
@@ -431,7 +431,7 @@ def test_drivers_add_up(spark, rows):
     assert sum(r["contribution_pct"] for r in got) == pytest.approx(100 if total else 0)
 
 
-# -- runs ------------------------------------------------------------------------------------------
+# -- runs
 
 
 def run_of(answer, *docs, question="q"):
@@ -504,8 +504,12 @@ def test_rules_take_runs_greedily():
     assert evaluate.match(rules, runs) == {0: 1, 1: 0}
 
 
+def summary(queries, weak, none, **tops):
+    return {"top1_freq": [{"count": n, "doc_id": d} for d, n in tops.items()], "no_match_queries": none, "low_similarity_queries": weak, "avg_top1_similarity": 0.5, "queries": queries}
+
+
 def test_simulations_compared(spark):
-    one = {"sim_summary": {"queries": 10, "avg_top1_similarity": 0.5, "low_similarity_queries": 3, "no_match_queries": 1, "top1_freq": [{"doc_id": "b", "count": 4}, {"doc_id": "a", "count": 4}]}}
+    one = {"sim_summary": summary(10, 3, 1, b=4, a=4)}
     two = {"retrievals": [{"ranked": [{"chunk_id": "a#1", "score": 0.9}]}, {"ranked": []}, {"ranked": [{"chunk_id": "c#0", "score": 0.3}]}]}
     diff = compare.compared(spark, one, two)
     assert (diff["top1_dominant_doc_before"], diff["queries_after"], diff["weak_after"], diff["no_match_after"], diff["query_count_mismatch"]) == ("a", 3, 2, 1, True)
@@ -549,7 +553,7 @@ def test_grid(spark):
     assert optimize.grid_of((10, 20), (10,)) == ([(20, 10)], 1)
 
 
-# -- the command line ------------------------------------------------------------------------------
+# -- the command line
 
 
 def test_simulate_and_gates(run, tmp_path):
@@ -611,7 +615,7 @@ def test_audit_and_compare_commands(run, tmp_path):
     sides = []
     for name, weak in (("a", 1), ("b", 2)):
         sides.append(tmp_path / f"{name}.json")
-        sides[-1].write_text(json.dumps({"sim_summary": {"queries": 4, "avg_top1_similarity": 0.5, "low_similarity_queries": weak, "no_match_queries": 0, "top1_freq": [{"doc_id": "d", "count": 2}]}}))
+        sides[-1].write_text(json.dumps({"sim_summary": summary(4, weak, 0, d=2)}))
     code, out, _ = run("compare-runs", *sides, "--format", "table")
     assert code == 0 and "REGRESSED" in out
     code, out, err = run("compare", *sides, "--fail-if-weak-increases", "--json")
