@@ -45,7 +45,7 @@ THRESHOLD = 0.3
 _SEED = 20240229
 
 
-# -- word vectors ----------------------------------------------------------------------------------
+# -- word vectors
 
 
 def _index(hashes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -141,7 +141,7 @@ def pooled(texts: pa.Array, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, some
 
 
-# -- the network -----------------------------------------------------------------------------------
+# -- the network
 
 
 @dataclass
@@ -207,7 +207,7 @@ def fit(x: np.ndarray, y: np.ndarray, epochs: int = 60, rate: float = 3e-3, deca
     return net
 
 
-# -- over tables -----------------------------------------------------------------------------------
+# -- over tables
 
 
 def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, Network | None]:

@@ -36,7 +36,7 @@ BLOCK = 256
 _MASK_DELTA = 0xA282EAD8
 
 
-# -- CRC-32C over many records at once -------------------------------------------------------------
+# -- CRC-32C over many records at once
 
 
 def _tables() -> np.ndarray:
@@ -145,7 +145,7 @@ def unframe(record: bytes) -> bytes:
     return record[12:-4]
 
 
-# -- tokens ----------------------------------------------------------------------------------------
+# -- tokens
 
 
 @lru_cache(maxsize=2)
@@ -160,7 +160,7 @@ def sequence(text: str | None, path: str, end: int, kind: str) -> bytes:
     return np.append(tokens, np.uint32(end)).astype(kind).tobytes()
 
 
-# -- shards ----------------------------------------------------------------------------------------
+# -- shards
 
 
 def _place(path: str) -> tuple[fs.FileSystem, str]:

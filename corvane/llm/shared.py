@@ -24,7 +24,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
 
-# -- durable intermediates -------------------------------------------------------------------------
+# -- durable intermediates
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -83,7 +83,7 @@ def plain(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
-# -- text as bytes ---------------------------------------------------------------------------------
+# -- text as bytes
 
 
 def as_texts(texts: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -112,7 +112,7 @@ def slices(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int
         start = end
 
 
-# -- word hashes -----------------------------------------------------------------------------------
+# -- word hashes
 
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True

@@ -57,7 +57,7 @@ def docs(spark):
     return spark.read.parquet(f"{SMALL}/documents.parquet")
 
 
-# -- words -----------------------------------------------------------------------------------------
+# -- words
 
 
 @settings(max_examples=60, deadline=None)
@@ -81,7 +81,7 @@ def test_long_texts_hash_as_short_ones_do():
     assert set(whole.tolist()) == set(hashes.tolist())
 
 
-# -- 1: licences -----------------------------------------------------------------------------------
+# -- 1: licences
 
 
 def reference_value(text):
@@ -154,7 +154,7 @@ def test_licences_of_a_table_agree_with_plain_search(spark, docs, odd, empty):
     assert licenses.scanned(odd).count() == len(ODD) and licenses.scanned(empty).count() == 0
 
 
-# -- 2: near duplicates ----------------------------------------------------------------------------
+# -- 2: near duplicates
 
 
 def groups_of(pairs, nodes):
@@ -242,7 +242,7 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     assert neardup.deduplicate(odd).count() == len(ODD) - 2 and neardup.deduplicate(odd).columns == odd.columns
 
 
-# -- 3: decontamination ----------------------------------------------------------------------------
+# -- 3: decontamination
 
 
 def longest_spans(doc, item):
@@ -305,7 +305,7 @@ def test_decontamination_of_odd_rows(spark, odd, empty):
         assert decontam.shared_spans(odd, bench.limit(0), broadcast_bytes=limit).count() == 0
 
 
-# -- 4: classifier ---------------------------------------------------------------------------------
+# -- 4: classifier
 
 
 def test_held_out_accuracy_and_calibration(spark):
@@ -346,7 +346,7 @@ def test_classifier_of_odd_rows(spark, odd, empty):
     assert classifier.passing(odd, labels).columns == odd.columns
 
 
-# -- 5: archive ------------------------------------------------------------------------------------
+# -- 5: archive
 
 
 def test_archive_round_trip(spark, tmp_path):
@@ -378,7 +378,7 @@ def test_archive_of_odd_rows(spark):
         list(warc.split_records(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort"))
 
 
-# -- 6: quality rules ------------------------------------------------------------------------------
+# -- 6: quality rules
 
 
 def test_distance_against_the_definition():
@@ -404,7 +404,7 @@ def test_rules_keep_good_documents(spark):
     assert kept[1] > 0.99 and kept[0] < 0.5
 
 
-# -- 7: packing ------------------------------------------------------------------------------------
+# -- 7: packing
 
 
 def best_fit(lengths, capacity):
@@ -454,7 +454,7 @@ def test_packing_of_odd_rows(odd, empty):
     assert packing.packed(empty).count() == 0
 
 
-# -- 8: language -----------------------------------------------------------------------------------
+# -- 8: language
 
 
 def test_language_on_held_out_documents(spark):
@@ -471,7 +471,7 @@ def test_language_of_odd_rows(odd, empty, docs):
     assert langid.identified(empty, docs).count() == 0 and langid.identified(odd, empty).where("predicted <> 'und'").count() == 0
 
 
-# -- 9: URLs ---------------------------------------------------------------------------------------
+# -- 9: URLs
 
 
 @pytest.mark.parametrize("keys", [urlfilter.FILTER_KEYS, 0])
@@ -502,7 +502,7 @@ def test_canonical_forms(spark):
     assert {r["u"]: r["c"] for r in got} == forms
 
 
-# -- 10: records -----------------------------------------------------------------------------------
+# -- 10: records
 
 
 def slow_crc(data: bytes) -> int:
@@ -548,7 +548,7 @@ def test_records_of_odd_rows(spark, odd, empty, tmp_path):
     assert records.write_records(empty, str(tmp_path / "none")).count() == 0
 
 
-# -- queries and the pipeline ----------------------------------------------------------------------
+# -- queries and the pipeline
 
 
 def test_every_operator_is_registered():
