@@ -16,6 +16,7 @@ gives an empty index; a record that doesn't match its checksums can't be read.
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -164,7 +165,13 @@ def sequence(text: str | None, path: str, end: int, kind: str) -> bytes:
 
 
 def _place(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark takes for it, so that shards and index lie on one file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
 
 
 def write_records(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end: int = END) -> DataFrame:
@@ -173,6 +180,7 @@ def write_records(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     (shard, place, doc_id, offset, n_bytes, n_tokens, checksum), a row for each document.
     """
     kind = "<u2" if end < 1 << 16 else "<u4"
+    path = qualified(docs.sparkSession, path)
     rows = shared.plain(docs, doc_id=id_col, text=text_col)
     type_of_id = rows.schema["doc_id"].dataType.simpleString()
     where, root = _place(path)
@@ -211,6 +219,7 @@ def write_records(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
 def read_records(spark: SparkSession, path: str, index: DataFrame | None = None, end: int = END) -> DataFrame:
     """(shard, place, doc_id, tokens) of the records of an index, in its order; the whole index by default."""
+    path = qualified(spark, path)
     index = index if index is not None else spark.read.parquet(f"{path}/index")
     rows = index.select("shard", "place", "doc_id", "offset", "n_bytes")
     kind = "<u2" if end < 1 << 16 else "<u4"
