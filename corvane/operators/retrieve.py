@@ -2,9 +2,9 @@
 
 A score is the cosine of two bags of words, plus a share for common terms and for the
 query as a phrase, less a penalty for long chunks, all in single precision.  Queries
-are the small side: their vectors, terms and phrases are sent to every task, up to
-MAX_QUERIES of them at once; more are handled in blocks, each with a scan of its own.
-Each task scores a batch of chunks against all queries with matrix products and keeps
+are the small side: their vectors, postings of terms and phrases are sent to every task,
+up to MAX_QUERIES of them at once; more are handled in blocks, each with a scan of its own.
+Each task scores a batch of chunks against all queries with a matrix product and keeps
 the best of each query, so what is shuffled is top_k rows a query and batch, whatever
 the number of pairs.
 """
@@ -45,9 +45,10 @@ class QueryBlock:
         sets = [set(_TERM.findall(t)) for t in self.lower]
         self.sizes = np.array([max(len(s), 1) for s in sets], f32)
         self.terms = {t: i for i, t in enumerate(sorted(set().union(*sets)))} if sets else {}
-        self.matrix = np.zeros((len(self.terms), len(sets)), f32)
-        for q, s in enumerate(sets):
-            self.matrix[[self.terms[t] for t in s], q] = 1
+        # Postings: the queries of each term, one list after the other, so the block grows with its queries alone.
+        found = np.array(sorted((self.terms[t], q) for q, s in enumerate(sets) for t in s), np.int64).reshape(-1, 2)
+        self.who = found[:, 1]
+        self.begin = np.searchsorted(found[:, 0], np.arange(len(self.terms) + 1))
         self.phrases: dict[str, list[int]] = {}
         for q, t in enumerate(self.lower):
             self.phrases.setdefault(t, []).append(q)
@@ -76,14 +77,17 @@ class QueryBlock:
         with np.errstate(divide="ignore", invalid="ignore"):
             similarity = np.where(size > 0, (v @ self.vectors.T) / size, f32(0)).astype(f32)
         similarity[~np.isfinite(similarity)] = 0
-        present = np.zeros((len(texts), len(self.terms)), f32)
+        seen: list[np.ndarray] = []
         phrase = np.zeros((len(texts), len(self.ids)), bool)
         for row, text in enumerate(texts):
             low = (text or "").lower()
-            known = [self.terms[t] for t in set(_TERM.findall(low)) if t in self.terms]
-            present[row, known] = 1
+            known = np.array([self.terms[t] for t in set(_TERM.findall(low)) if t in self.terms], np.int64)
+            each = self.begin[known + 1] - self.begin[known]
+            at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(self.begin[known], each)
+            seen.append(self.who[at] + row * len(self.ids))
             phrase[row, self._phrases_in(low)] = True
-        overlap = present @ self.matrix
+        cells = len(texts) * len(self.ids)
+        overlap = np.bincount(np.concatenate([*seen, np.zeros(0, np.int64)]), minlength=cells)[:cells].reshape(len(texts), len(self.ids))
         share = (overlap / self.sizes[None, :]).astype(f32)
         keyword = np.minimum(share * f32(0.15), f32(0.15))
         boost = np.where(phrase, f32(0.08), f32(0))
