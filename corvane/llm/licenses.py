@@ -2,22 +2,25 @@
 
 One automaton finds identifier tags and notice phrases in a single pass over the
 lower-cased text, with its white space collapsed; of matches that overlap, the
-leftmost and longest count, and only between word boundaries.  The expression after
-each tag, up to the end of its line, is parsed with precedence WITH, AND, OR and
-evaluated: each licence allows, needs review or denies; AND takes the strictest,
+leftmost and longest count, tags before notices, only between word boundaries.  The expression after
+each tag, up to the end of its line, a comment's end or the next tag, is parsed with
+precedence WITH, AND, OR and evaluated: each licence allows, needs review or denies; AND takes the strictest,
 OR the mildest, and a known exception lifts a denial to review.  A document's verdict
 is the strictest of all that was found in it.
 
 Defined results: a text that is null, empty or without a match has the verdict
-"none"; an expression that can't be parsed counts as review and lists no licence; a
-licence that isn't known counts as review; repeated findings count once each in
+"none"; an expression that can't be parsed counts as review at best, and lists the known
+licences of the longest expression that it begins with; after a tag that ends its line,
+the next line counts where it begins with an expression of known licences; a licence that isn't known counts as review; repeated findings count once each in
 notices; each row is scanned by itself.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -54,6 +57,7 @@ EXCEPTIONS = {"classpath-exception-2.0", "gcc-exception-3.1", "llvm-exception",
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 _TOKEN = re.compile(r"\s*([()]|[A-Za-z0-9.+:_-]+)")
 _END = re.compile(r"\*/|-->|[\"'`,;]")
+_LEAD = re.compile(r"^[\s/*#;%-]+")
 
 
 def postfix(expression: str) -> list[str] | None:
@@ -134,51 +138,110 @@ def automaton() -> ahocorasick.Automaton:
     return made
 
 
-def matches(low: str) -> list[str]:
-    """The tags and notices in a lower-cased text, leftmost and longest, between word boundaries."""
-    flat = " ".join(low.split())
+def located(flat: str) -> list[tuple[int, int, str]]:
+    """(start, end, phrase) of the tags and notices in a lower-cased text with collapsed white space, leftmost and longest, between word boundaries."""
     found = [(end - len(phrase) + 1, end + 1, phrase) for end, phrase in automaton().iter(flat)]
     whole = [
         (start, -end, phrase) for start, end, phrase in found
         if not (start and flat[start - 1].isalnum()) and (phrase in TAGS or end == len(flat) or not flat[end].isalnum())
     ]
+    # "... Apache-2.0 License-Expression: ...": no notice may hide a tag.
+    tags = [(start, -end) for start, end, phrase in whole if phrase in TAGS]
     out, reach = [], 0
     for start, end, phrase in sorted(whole):
-        if start >= reach:
-            out.append(phrase)
+        k = bisect_right(tags, (start, len(flat)))
+        if start >= reach and (phrase in TAGS or k == len(tags) or tags[k][0] >= -end):
+            out.append((start, -end, phrase))
             reach = -end
     return out
 
 
-def expressions(text: str) -> list[str]:
-    """What follows each tag on its line, without comment ends."""
-    out = []
-    for line in text.splitlines():
-        low = line.lower()
-        for tag in TAGS:
-            at = low.find(tag)
-            if at >= 0:
-                # Lower-casing may change lengths before the tag; the end of the line keeps its distance.
-                rest = line[len(line) - (len(low) - at - len(tag)) :]
-                out.append(" ".join(_END.split(rest, maxsplit=1)[0].split()))
+def matches(low: str) -> list[str]:
+    """The tags and notices in a lower-cased text, leftmost and longest, between word boundaries."""
+    return [phrase for _, _, phrase in located(" ".join(low.split()))]
+
+
+def _in_text(text: str, low: str, flat_places: list[int]) -> list[int]:
+    """Where places of the lower-cased, collapsed text lie in the text; the places ascend, each within a run of visible characters."""
+    out, at, words = [], 0, re.finditer(r"\S+", low)
+    word = next(words)
+    for place in flat_places:
+        while place >= at + len(word[0]):
+            at += len(word[0]) + 1
+            word = next(words)
+        out.append(word.start() + place - at)
+    if len(low) == len(text):
+        return out
+    # Lower-casing has made some characters longer.
+    ends = list(accumulate(len(c.lower()) for c in text))
+    return [bisect_right(ends, x) for x in out]
+
+
+def known_prefix(text: str) -> str:
+    """The longest expression at the start of a text that names known licences and exceptions alone; may be empty."""
+    at, best, depth, operand = 0, 0, 0, True
+    while found := _TOKEN.match(text, at):
+        at, kind = found.end(), found[1].lower()
+        if kind in _PRECEDENCE or kind == ")":
+            if operand or (kind == ")" and not depth):
+                break
+            operand = kind != ")"
+            depth -= kind == ")"
+        elif not operand:
+            break
+        elif kind == "(":
+            depth += 1
+        else:
+            bare = kind.rstrip(".:")
+            if not {bare, bare.removesuffix("+")} & (LICENCES.keys() | EXCEPTIONS):
                 break
+            at -= len(kind) - len(bare)
+            operand = False
+        if not operand and not depth:
+            best = at
+    return text[:best]
+
+
+def expressions(text: str, low: str, found: list[tuple[int, int, str]]) -> list[tuple[str, bool]]:
+    """(expression, whole) after each tag among what was located: to the end of its line, a comment's end or the next tag.
+
+    Where that can't be parsed, it is cut to the expression of known licences that it
+    begins with, if there is one; where it is empty, so is the next line.
+    """
+    tags = [x for x in found if x[2] in TAGS]
+    starts = _in_text(text, low, [start for start, _, _ in tags])
+    ends = [x + 1 for x in _in_text(text, low, [end - 1 for _, end, _ in tags])]
+    out = []
+    for at, stop in zip(ends, [*starts[1:], len(text)], strict=True):
+        lines = text[at:stop].lstrip(" \t").splitlines() or [""]
+        expression = " ".join(_END.split(lines[0], maxsplit=1)[0].split())
+        whole = postfix(expression) is not None
+        if not whole:
+            rest = expression if lines[0].strip() else next((_LEAD.sub("", x) for x in lines[1:] if x.strip()), "")
+            begun = known_prefix(rest)
+            # A next line that is nothing but an expression counts in full.
+            whole = bool(begun) and not expression and not _END.split(rest, maxsplit=1)[0][len(begun) :].strip()
+            expression = " ".join(begun.split()) or expression
+        out.append((expression, whole))
     return out
 
 
 def scan(text: str | None) -> tuple[list[str], list[str], int, str]:
     """(licences, expressions, notices, verdict) of one text."""
-    found = matches(text.lower()) if text else []
-    if not found:
+    low = text.lower() if text else ""
+    places = located(" ".join(low.split()))
+    if not places:
         return [], [], 0, "none"
+    found = [phrase for _, _, phrase in places]
     notices = [NOTICES[x] for x in found if x in NOTICES]
-    tagged = expressions(text) if len(notices) < len(found) else []
+    tagged = expressions(text, low, places) if len(notices) < len(found) else []
     levels = [LICENCES[x.lower()][1] for x in notices]
     names = set(notices)
-    for expression in tagged:
+    for expression, whole in tagged:
         level, named = evaluate(expression)
-        levels.append(level)
+        levels.append(level if whole else min(level, REVIEW))
         names.update(named)
-    return sorted(names), tagged, len(notices), VERDICTS[min(levels, default=REVIEW)]
+    return sorted(names), [x for x, _ in tagged], len(notices), VERDICTS[min(levels, default=REVIEW)]
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -145,6 +145,17 @@ def test_scan_of_one_text():
     assert licenses.scan("submit license")[3] == "none" and licenses.scan(None)[3] == "none"
 
 
+def test_every_tag_of_a_text_counts():
+    tag = "SPDX-License-Identifier:"
+    assert licenses.scan(f"{tag} MIT */ ... {tag} GPL-3.0-only */") == (["GPL-3.0-only", "MIT"], ["MIT", "GPL-3.0-only"], 0, "deny")
+    assert licenses.scan(f"{tag} MIT {tag} Apache-2.0 License-Expression: GPL-2.0-only\nx")[::3] == (["Apache-2.0", "GPL-2.0-only", "MIT"], "deny")
+    assert licenses.scan(f"İİ {tag}  MIT OR\tISC */ ẞ {tag} ISC")[1] == ["MIT OR ISC", "ISC"]
+    assert licenses.scan(f"{tag} GPL-3.0-only. int main() {{ return 0 }}")[::3] == (["GPL-3.0-only"], "deny")
+    assert licenses.scan(f"{tag} MIT int main() {{ return 0 }}") == (["MIT"], ["MIT"], 0, "review")
+    assert licenses.scan(f" * {tag}\n *  MIT OR ISC\n")[1:] == (["MIT OR ISC"], 0, "allow")
+    assert licenses.scan(f"{tag}\nimport os")[::3] == ([], "review") and licenses.scan(tag)[1] == [""]
+
+
 def test_licences_of_a_table_agree_with_plain_search(spark, docs, odd, empty):
     found = {r["doc_id"]: r for r in licenses.scanned(docs).collect()}
     for row in docs.collect():
