@@ -193,15 +193,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """The documents that share no span with any benchmark item, all columns kept.
 
     With a benchmark that every worker holds this is a filter, row by row.  A larger one
-    gives a list of ids, and documents are kept by a join: then rows go with their id, so
-    a repeated id goes with all its rows.
+    gives a list of ids with their texts' hashes, and rows are kept by a null-safe join on both.
     """
     items = shared.plain(benchmark, item_id=item_col, item_text=item_text_col).where("item_text IS NOT NULL")
     bench = _held(items, broadcast_bytes)
     if bench is None:
-        found = shared_spans(docs, benchmark, id_col, text_col, item_col, item_text_col, broadcast_bytes)
-        gone = shared.materialize(found.select(F.col("doc_id").alias("_gone")).distinct(), "leaks")
-        return docs.join(gone, docs[f"`{id_col}`"].eqNullSafe(gone["_gone"]), "left_anti")
+        # The text's hash is part of the id here, so that rows of a repeated or null id are told apart.
+        rows = shared.plain(docs, doc_id=id_col, text=text_col).select(F.struct("doc_id", F.xxhash64("text").alias("hash")).alias("doc_id"), "text")
+        kinds = rows.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+        found = _joined(rows, items, f"doc_id {kinds[0]}, item_id {kinds[1]}, spans int, longest int, start int")
+        gone = shared.materialize(found.select(F.col("doc_id.doc_id").alias("_gone"), F.col("doc_id.hash").alias("_gone_text")).distinct(), "leaks")
+        same = docs[f"`{id_col}`"].eqNullSafe(gone["_gone"]) & (F.xxhash64(docs[f"`{text_col}`"]) == gone["_gone_text"])
+        return docs.join(gone, same, "left_anti")
 
     @F.arrow_udf("boolean")
     def clean(texts: pa.Array) -> pa.Array:

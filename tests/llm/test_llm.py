@@ -316,6 +316,15 @@ def test_decontamination_of_odd_rows(spark, odd, empty):
         assert decontam.shared_spans(odd, bench.limit(0), broadcast_bytes=limit).count() == 0
 
 
+def test_decontamination_goes_by_row_either_way(spark):
+    bench = spark.createDataFrame([(1, "word " * 20)], "item_id bigint, text string")
+    leak = "word " * 30
+    rows = [(None, leak, "en"), (None, "clean here", "en"), (4, leak, "en"), (4, "clean too", "en"), (4, "clean too", "en"), (5, leak, "en"), (6, None, "en"), (None, None, "en")]
+    for limit in (0, 1 << 20):
+        got = decontam.decontaminate(table(spark, rows), bench, broadcast_bytes=limit).collect()
+        assert Counter((r["doc_id"], r["text"]) for r in got) == {(None, "clean here"): 1, (4, "clean too"): 2, (6, None): 1, (None, None): 1}
+
+
 # -- 4: classifier
 
 
