@@ -62,19 +62,23 @@ def minhashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, some
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, sig): the signature of each document that has a word."""
+def _signed(rows: DataFrame) -> DataFrame:
+    """The rows that have a word, with their signature in place of their text, the last column."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig, some = minhashes(batch.column(1))
-            ids = batch.column(0).filter(pa.array(some))
-            raw = sig[some]
-            yield pa.RecordBatch.from_arrays([ids, pa.array([x.tobytes() for x in raw], pa.binary())], names=["doc_id", "sig"])
+            sig, some = minhashes(batch.column("text"))
+            keep = pa.array(some)
+            raw = pa.array([x.tobytes() for x in sig[some]], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[x.filter(keep) for x in batch.columns[:-1]], raw], names=[*batch.schema.names[:-1], "sig"])
+
+    kinds = [f"{x.name} {x.dataType.simpleString()}" for x in rows.schema.fields[:-1]]
+    return rows.mapInArrow(make, ", ".join([*kinds, "sig binary"]))
+
 
-    rows = shared.plain(docs, doc_id=id_col, text=text_col).where("doc_id IS NOT NULL")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(make, f"doc_id {kind}, sig binary")
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, sig): the signature of each document that has a word."""
+    return _signed(shared.plain(docs, doc_id=id_col, text=text_col).where("doc_id IS NOT NULL"))
 
 
 def _flat(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -324,7 +328,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those that near_duplicates() lists, all columns kept."""
+    """One row of each group of near duplicates, and all rows without a signature; all columns kept.
+
+    Groups are those of near_duplicates(), but of rows: repeated rows are copies of each
+    other, rows with a null id take part, and rows of one id with several texts are judged
+    each by its own.  The row of least id stays, null last, then the one of least text hash.
+    """
+    rows = shared.plain(docs, doc_id=id_col, text=text_col)
+    kept = shared.materialize(_signed(rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")), "signatures")
+    # Signatures get numbers, which hold once they are written.
+    counted = kept.groupBy("sig").agg(F.count("*").alias("n"))
+    distinct = shared.materialize(counted.select(F.monotonically_increasing_id().alias("node"), "sig", "n"), "distinct")
+    linked = components(_edges(distinct.select("node", "sig"), DISTANCE))
+    several = distinct.join(linked, "node", "left").where("n > 1 OR root IS NOT NULL").select("sig", F.coalesce("root", "node").alias("root"))
+    members = kept.join(several, "sig").groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    first = members.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_hash")).alias("first"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    found = members.join(first, "root").withColumn("_again", is_first).where("n > 1 OR NOT _again")
     # Written out, the list has a known size, and the planner sends it to every task if that is small enough.
-    gone = shared.materialize(near_duplicates(docs, id_col, text_col).select(F.col("doc_id").alias("_gone")), "copies")
-    return docs.join(gone, docs[f"`{id_col}`"] == gone["_gone"], "left_anti")
+    gone = shared.materialize(found.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_text"), "_again"), "copies")
+
+    def among(those: DataFrame, how: str) -> DataFrame:
+        return docs.join(those, docs[f"`{id_col}`"].eqNullSafe(those["_gone"]) & (F.xxhash64(docs[f"`{text_col}`"]) == those["_gone_text"]), how)
+
+    left = among(gone, "left_anti")
+    again = gone.where(gone["_again"])
+    if again.isEmpty():
+        return left
+    # Rows with the same id and text as the one that stays: one of them, by their other columns.
+    place, order = "_corvane_place", [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    of_row = Window.partitionBy(F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`"))).orderBy(*order)
+    return left.unionByName(among(again, "left_semi").withColumn(place, F.row_number().over(of_row)).where(F.col(place) == 1).drop(place))
