@@ -8,14 +8,16 @@ the mean of its tokens' unit vectors, weighted so that frequent tokens count les
 with the length of that mean.  A network of two layers gives a probability, whose
 temperature is fitted on labelled documents that were held out from training.
 
-The vectors are gathered from all documents.  The network is fitted on the
-MAX_LABELLED labelled documents of least hash, which bounds the fit and nothing else.
+The vectors are gathered from all documents.  The network is fitted on MAX_LABELLED
+of the given documents that have a label and a token, those whose ids have the least
+hash, which bounds the fit and nothing else.
 
 Tokens are runs of word characters, in their own case, and runs of other visible
 characters.  Defined results: a document without tokens has probability 0 and is
 rejected; labels that are null, or of unknown documents, are left out; of repeated
-labels the least counts; each row of the documents is scored by itself; with no
-labels of one of the two kinds the probability is 1 for every document with tokens.
+labels the least counts; each row of the documents is scored by itself; with
+fewer than 20 labelled rows, or no labels of one of the two kinds, the probability is 1
+for every document with tokens.
 """
 
 from __future__ import annotations
@@ -169,7 +171,7 @@ def _loss(logit: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
 
 
 def fit(x: np.ndarray, y: np.ndarray, epochs: int = 60, rate: float = 3e-3, decay: float = 1e-3) -> Network | None:
-    """Adam on four fifths of the rows, temperature on the rest; None without both kinds of label.
+    """Adam on four fifths of the rows, temperature on the rest; None for fewer than 20 rows or without both kinds of label.
 
     The least loss on the rest, over the epochs, chooses the weights.
     """
@@ -215,9 +217,13 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     vectors = unit_vectors(word_vectors(shared.plain(docs, text=text_col).where("text IS NOT NULL")).toArrow())
     known = shared.plain(labels, label_id=label_id_col, y=label_col).where("label_id IS NOT NULL AND y IS NOT NULL")
     known = known.groupBy("label_id").agg(F.min("y").alias("y"))
+    texts = shared.plain(docs, doc_id=id_col, text=text_col)
+    # Labels that no document with a token has don't use up the bound.
+    usable = texts.where(F.col("text").rlike(r"[^\t-\r ]")).select("doc_id")
+    known = known.join(usable, F.col("label_id") == F.col("doc_id"), "left_semi")
     sample = known.orderBy(F.xxhash64("label_id"), "label_id").limit(max_labelled)
     # The sample has a bound of its own, so it is sent to the scan instead of shuffling the documents.
-    rows = shared.plain(docs, doc_id=id_col, text=text_col).join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
+    rows = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

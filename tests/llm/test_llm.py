@@ -374,6 +374,14 @@ def test_classifier_of_odd_rows(spark, odd, empty):
     assert classifier.passing(odd, labels).columns == odd.columns
 
 
+def test_labels_of_unknown_documents_leave_the_sample_whole(spark):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 40) if i % 2 else "$$ ## !! " * 20, "en") for i in range(60)] + [(i, " \n", "en") for i in range(1000, 1400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4000)], "doc_id bigint, quality int")
+    _, net = classifier.trained(table(spark, rows), labels, max_labelled=50)
+    assert net is not None
+
+
 # -- 5: archive
 
 
