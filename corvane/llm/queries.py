@@ -62,8 +62,9 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records_ = warc.records_of(table(spark, sf_dir, "pages"))
-    rebuilt = warc.rebuild(warc.headers(records_), warc.payloads(records_))
+    path = shared.new_path(spark, "archive")
+    warc.write_archive(warc.records_of(table(spark, sf_dir, "pages")), path)
+    rebuilt = warc.read_archive(spark, path)
     return rebuilt.select(F.col("record_id").alias("page_id"), "digest", "verified", "n_bytes", F.col("record").cast("string").alias("record"))
 
 

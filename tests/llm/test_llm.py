@@ -8,6 +8,7 @@ import itertools
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -385,6 +386,15 @@ def test_labels_of_unknown_documents_leave_the_sample_whole(spark):
 # -- 5: archive
 
 
+def test_the_query_stores_its_archive(spark):
+    before = {p.name for p in Path(shared.shared_dir(spark).removeprefix("file:")).glob("archive-*")}
+    got = __spark_entry__.queries()["op5_warc"](spark, SMALL)
+    (path,) = [p for p in Path(shared.shared_dir(spark).removeprefix("file:")).glob("archive-*") if p.name not in before]
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    assert spark.read.parquet(f"{path}/payloads").count() == pages.select(F.coalesce("html", F.lit(""))).distinct().count()
+    assert got.where("verified").count() == pages.count()
+
+
 def test_archive_round_trip(spark, tmp_path):
     rng = random.Random(2)
     parts = []
