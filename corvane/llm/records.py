@@ -3,14 +3,22 @@
 A document becomes the ids of its tokens and an end mark, little-endian, 16 bits each
 (32 for vocabularies that need them).  A record frames that sequence: its length (8
 bytes), the masked CRC-32C of the length, the sequence, and its masked CRC-32C.  Each
-task writes one shard from its part of the scan, under a name of its own attempt that
-is moved into place when complete; what a retried task writes is the same, byte for
-byte.  The index, a Parquet table, has the shard, offset and size of every record, so
-that any order of reading is a read by ranges.
-
-Defined results: a text that is null or empty is a record of the end mark alone; each
+attempt of a task writes a shard of its own, whose name the index rows of that attempt
+carry, so a retried or speculative attempt never touches what another one wrote, and
+what the index names is what the winning attempts wrote.  Shards that the index doesn't
+name (lost attempts, an earlier run under the same path) are deleted once it is written.
+The index, a Parquet table, has the shard, offset and size of every record, so that any
+order of reading is a read by ranges.
+
+Runs of white space from LONG_RUN characters on are cut out before the pattern sees
+them and encoded as the pieces that it makes of them, since its look-ahead backtracks
+over the whole run; the tokens are the same.
+
+Defined results: a text that is null or empty is a record of the end mark alone; a text
+of any length is one record, a single word or run of white space of any length too; each
 row is a record, repeated or not; a null id stays null in the index; an empty table
-gives an empty index; a record that doesn't match its checksums can't be read.
+gives an empty index; extra columns are left out; a record that doesn't match its
+checksums can't be read.
 """
 
 from __future__ import annotations
@@ -23,6 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyarrow import fs
 from pyspark import TaskContext
@@ -33,6 +42,8 @@ from corvane.llm import shared
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END = 50256
+#: White space of so many characters in a row is encoded apart.
+LONG_RUN = 1000
 BLOCK = 256
 _MASK_DELTA = 0xA282EAD8
 
@@ -156,9 +167,30 @@ def encoding(path: str, pattern: str = PATTERN) -> tiktoken.Encoding:
     return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+_SPACES = regex.compile(rf"\p{{White_Space}}{{{LONG_RUN},}}")
+_ONE_PIECE = r"(?s).+"
+
+
+def tokens_of(text: str | None, path: str) -> np.ndarray:
+    """The ids of a text's tokens: what the pattern's pieces give, whatever the runs of white space."""
+    if not text:
+        return np.zeros(0, np.uint32)
+    known = encoding(path)
+    if len(text) < LONG_RUN:
+        return known.encode_to_numpy(text, disallowed_special=())
+    parts, at = [], 0
+    for run in _SPACES.finditer(text):
+        # The last character of a run goes with what follows it; at the end of the text, the run is one piece.
+        stop = run.end() if run.end() == len(text) else run.end() - 1
+        parts.append(known.encode_to_numpy(text[at : run.start()], disallowed_special=()))
+        parts.append(encoding(path, _ONE_PIECE).encode_to_numpy(text[run.start() : stop], disallowed_special=()))
+        at = stop
+    parts.append(known.encode_to_numpy(text[at:], disallowed_special=()))
+    return np.concatenate(parts)
+
+
 def sequence(text: str | None, path: str, end: int, kind: str) -> bytes:
-    tokens = encoding(path).encode_to_numpy(text, disallowed_special=()) if text else np.zeros(0, np.uint32)
-    return np.append(tokens, np.uint32(end)).astype(kind).tobytes()
+    return np.append(tokens_of(text, path), np.uint32(end)).astype(kind).tobytes()
 
 
 # -- shards
@@ -188,16 +220,17 @@ def write_records(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, folder = _place(path)
-        shard = f"shard-{TaskContext.get().partitionId():06d}.rec"
-        draft = f"{folder}/.{shard}.{uuid.uuid4().hex}"
+        task = TaskContext.get()
+        shard = f"shard-{task.partitionId():06d}-{task.taskAttemptId():x}-{uuid.uuid4().hex[:8]}.rec"
         offset = place = 0
         out = None
+        done = False
         try:
             for batch in batches:
                 texts = shared.as_texts(batch.column(1))
                 for start, stop in shared.slices(texts):
                     if out is None:
-                        out = system.open_output_stream(draft)
+                        out = system.open_output_stream(f"{folder}/{shard}")
                     framed, offsets, sizes, sums = frame([sequence(x.as_py(), tokenizer, end, kind) for x in texts[start:stop]])
                     out.write(framed)
                     n = stop - start
@@ -206,15 +239,26 @@ def write_records(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                         "n_bytes": pa.array(sizes), "n_tokens": pa.array((sizes - 16) // np.dtype(kind).itemsize), "checksum": pa.array(sums.astype(np.int64)),
                     })
                     offset, place = offset + len(framed), place + n
+            done = True
         finally:
             if out is not None:
                 out.close()
-        if out is not None:
-            system.move(draft, f"{folder}/{shard}")
+                if not done:
+                    system.delete_file(f"{folder}/{shard}")
 
     index = rows.mapInArrow(write, f"shard string, place bigint, doc_id {type_of_id}, offset bigint, n_bytes bigint, n_tokens bigint, checksum bigint")
     index.write.mode("overwrite").parquet(f"{path}/index")
-    return docs.sparkSession.read.schema(index.schema).parquet(f"{path}/index")
+    index = docs.sparkSession.read.schema(index.schema).parquet(f"{path}/index")
+    _sweep(where, root, index)
+    return index
+
+
+def _sweep(where: fs.FileSystem, root: str, index: DataFrame) -> None:
+    """Delete the shards under root that the index doesn't name; there is about one for each task."""
+    named = {r["shard"] for r in index.select("shard").distinct().toLocalIterator()}
+    for info in where.get_file_info(fs.FileSelector(root)):
+        if info.type == fs.FileType.File and info.base_name.lstrip(".").startswith("shard-") and info.base_name not in named:
+            where.delete_file(info.path)
 
 
 def read_records(spark: SparkSession, path: str, index: DataFrame | None = None, end: int = END) -> DataFrame:

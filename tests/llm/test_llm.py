@@ -587,6 +587,31 @@ def test_records_round_trip_in_any_order(spark, docs, tmp_path):
         assert tokens_of.decode(row["tokens"][:-1]) == texts[row["doc_id"]]
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "\x1c", "1", "!", "é", ""]), st.sampled_from(" \n\t\u00a0\u3000\x85"), st.integers(990, 1010), st.booleans()), max_size=4), st.sampled_from(["", "word", " x", "\n"]))
+def test_long_white_space_gives_the_tokens_of_the_pattern(parts, last):
+    text = "".join(word + space * n + " " * more for word, space, n, more in parts) + last
+    assert records.tokens_of(text, records.TOKENIZER).tolist() == records.encoding(records.TOKENIZER).encode_ordinary(text)
+
+
+def test_records_of_very_long_runs(spark, tmp_path):
+    texts = [" " * 10_000_000, "\n" * 10_000_000 + "end", "ab" * 5_000_000]
+    index = records.write_records(table(spark, [(i, t, "en") for i, t in enumerate(texts)]).repartition(3), str(tmp_path))
+    known = records.encoding(records.TOKENIZER)
+    for row in index.collect():
+        framed = (tmp_path / row["shard"]).read_bytes()[row["offset"] : row["offset"] + row["n_bytes"]]
+        assert known.decode(np.frombuffer(records.unframe(framed), "<u2")[:-1].tolist()) == texts[row["doc_id"]]
+
+
+def test_shards_that_the_index_does_not_name_go(spark, docs, tmp_path):
+    records.write_records(docs.repartition(5), str(tmp_path))
+    (tmp_path / ".shard-000001.rec.draft").write_bytes(b"left by a lost task")
+    index = records.write_records(docs.repartition(2), str(tmp_path))
+    left = {p.name for p in tmp_path.iterdir() if p.is_file() and "shard" in p.name and not p.name.endswith(".crc")}
+    assert left == {r["shard"] for r in index.select("shard").distinct().collect()} and len(left) == 2
+    assert records.read_records(spark, str(tmp_path)).count() == docs.count()
+
+
 def test_records_of_odd_rows(spark, odd, empty, tmp_path):
     index = records.write_records(odd, str(tmp_path / "odd"))
     got = records.read_records(spark, str(tmp_path / "odd"), index).collect()
