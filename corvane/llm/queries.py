@@ -131,26 +131,24 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(table(spark, sf_dir, "documents"))
 
 
-#: Hosts whose pages make the list of op9_url_filter, without "www.", "m." and "blog.".
-LISTED_HOSTS = ("free-bets.example.com", "casino-win.example.com", "spam-farm.example.com", "adult-x.example.net", "ads-track.example.com", "cheap-pills.example.com")
-_BARE_HOST = r"//(?:www\.|m\.|blog\.)?([^/:?#]+)"
+#: The list of op9_url_filter: pages of hosts with a hyphen in their first label, after "www.", "m." or "blog.".
+LISTED = r"//(?:www\.|m\.|blog\.)?[^/:?#.]*-"
 
 
 @query
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    listed = pages.where(F.regexp_extract("url", _BARE_HOST, 1).isin(*LISTED_HOSTS)).select("url")
-    return urlfilter.filtered(pages, listed)
+    return urlfilter.filtered(pages, pages.where(F.col("url").rlike(LISTED)).select("url"))
 
 
 ORACLE["op9_url_filter"] = rf"""
 WITH a AS (SELECT page_id, url, regexp_replace(url, '#.*$', '') AS bare FROM pages),
-b AS (SELECT page_id, url, bare, regexp_replace(lower(regexp_extract(bare, '{urlfilter.AUTHORITY}([^/?:]+)', 1)), '^www\.', '') AS host,
-  regexp_replace(regexp_extract(bare, '{urlfilter.AUTHORITY}[^/?:]+(:[0-9]*)', 1), '^:(?:80|443)?$', '') AS port,
+b AS (SELECT page_id, url, bare, regexp_replace(lower(regexp_extract(bare, '{urlfilter.AUTHORITY}({urlfilter.HOST})', 1)), '^www\.', '') AS host,
+  regexp_replace(regexp_extract(bare, '{urlfilter.AUTHORITY}{urlfilter.HOST}(:[0-9]*)', 1), '^:(?:80|443)?$', '') AS port,
   regexp_replace(regexp_replace(regexp_extract(bare, '{urlfilter.AUTHORITY}[^/?]*([^?]*)', 1), '/index\.html?$', '/'), '/+$', '') AS path,
   list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '{urlfilter.TRACKING}'))) AS q FROM a),
 c AS (SELECT page_id, url, CASE WHEN host <> '' THEN host || port || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS canonical FROM b),
-l AS (SELECT DISTINCT canonical FROM c WHERE regexp_extract(url, '{_BARE_HOST}', 1) IN {LISTED_HOSTS})
+l AS (SELECT DISTINCT canonical FROM c WHERE regexp_matches(url, '{LISTED}'))
 SELECT page_id, canonical, canonical IS NOT NULL AND canonical IN (SELECT canonical FROM l WHERE canonical IS NOT NULL) AS blocked FROM c
 """
 

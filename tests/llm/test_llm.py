@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
+from corvane.llm import queries as llm_queries
 from corvane.llm import classifier, decontam, langid, licenses, neardup, packing, records, rules, shared, urlfilter, warc
 
 SMALL = "/root/testdata/sf0.001"
@@ -520,17 +521,17 @@ def test_language_of_odd_rows(odd, empty, docs):
 # -- 9: URLs
 
 
-@pytest.mark.parametrize("keys", [urlfilter.FILTER_KEYS, 0])
-def test_url_filter_is_exact(spark, keys):
+@pytest.mark.parametrize("size", [urlfilter.FILTER_BYTES, 0])
+def test_url_filter_is_exact(spark, size):
     rng = random.Random(4)
     made = lambda i: f"http{'s' * rng.randrange(2)}://{'www.' * rng.randrange(2)}Host{i % 50}.example/p/{i}{rng.choice(['', '/', '/index.html', '?utm_source=x', '#top', '?b=2&a=1', '?a=1&b=2'])}"
     listed = spark.createDataFrame([(made(i),) for i in range(0, 3000, 3)] + [(None,), ("no url",)], "url string")
     pages = spark.createDataFrame([(i, made(i)) for i in range(3000)] + [(-1, None), (-2, "nothing"), (3, "http://host3.example/p/3")], "page_id bigint, url string").select("*", F.lit(1).alias("key"), F.lit(2).alias("block"))
-    got = urlfilter.filtered(pages, listed, filter_keys=keys).collect()
+    got = urlfilter.filtered(pages, listed, filter_bytes=size).collect()
     known = {r["c"] for r in listed.select(urlfilter.canonical(F.col("url")).alias("c")).collect()} - {None}
     assert len(got) == 3003 and all(r["blocked"] == (r["canonical"] in known) for r in got)
-    assert urlfilter.filtered(pages, listed.limit(0), filter_keys=keys).where("blocked").count() == 0
-    assert urlfilter.filtered(pages.limit(0), listed, filter_keys=keys).count() == 0
+    assert urlfilter.filtered(pages, listed.limit(0), filter_bytes=size).where("blocked").count() == 0
+    assert urlfilter.filtered(pages.limit(0), listed, filter_bytes=size).count() == 0
 
 
 def test_the_bloom_filter_passes_little_else(spark):
@@ -542,8 +543,15 @@ def test_the_bloom_filter_passes_little_else(spark):
     assert test(keys) == 5000 and test(others) < 100
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_the_list_of_the_query_holds_something_on_any_draw(spark, sf):
+    pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")
+    listed = pages.where(F.col("url").rlike(llm_queries.LISTED)).count()
+    assert 0 < listed < 0.2 * pages.count()
+
+
 def test_canonical_forms(spark):
-    forms = {"HTTP://User@WWW.Ex.com:80/A/?utm_source=q&b=2&a=1#f": "ex.com/A?a=1&b=2", "https://ex.com:8443/index.html": "ex.com:8443", "//ex.com": "ex.com", "ex.com/a": None, "https://ex.com/x?ref=y": "ex.com/x"}
+    forms = {"HTTP://User@WWW.Ex.com:80/A/?utm_source=q&b=2&a=1#f": "ex.com/A?a=1&b=2", "https://ex.com:8443/index.html": "ex.com:8443", "//ex.com": "ex.com", "ex.com/a": None, "https://ex.com/x?ref=y": "ex.com/x", "http://[2001:DB8::1]:8080/a/": "[2001:db8::1]:8080/a", "http://e.com/" + "a" * 300_000: "e.com/" + "a" * 300_000}
     got = spark.createDataFrame([(u,) for u in forms], "u string").select("u", urlfilter.canonical(F.col("u")).alias("c")).collect()
     assert {r["u"]: r["c"] for r in got} == forms
 
