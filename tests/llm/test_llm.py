@@ -13,6 +13,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -407,11 +408,31 @@ def test_archive_round_trip(spark, tmp_path):
     (tmp_path / "in/a.warc").write_bytes(b"".join(parts[:15]))
     (tmp_path / "in/b.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in parts[15:]))
     read = warc.read_records(spark, str(tmp_path / "in"))
-    rows = read.select(F.concat_ws("#", "path", "place").alias("record_id"), "header", "payload")
-    warc.write_archive(rows, str(tmp_path / "out"))
+    warc.write_archive(read, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out/payloads")).count() == 21
-    back = warc.read_archive(spark, str(tmp_path / "out")).collect()
-    assert sorted(bytes(r["record"]) for r in back) == sorted(parts) and all(r["verified"] for r in back)
+    for hot in (warc.HOT, 2):
+        back = warc.read_archive(spark, str(tmp_path / "out"), hot).collect()
+        assert sorted(bytes(r["record"]) for r in back) == sorted(parts) and all(r["verified"] for r in back)
+    assert len({r["record_id"] for r in back}) == 30
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.binary(max_size=40), max_size=5), st.integers(1, 50), st.booleans())
+def test_records_come_out_of_blocks_of_any_size(bodies, size, zipped):
+    parts = [(f"WARC/1.1\r\nContent-Length: {len(x)}\r\n\r\n".encode(), x) for x in bodies]
+    content = b"".join(gzip.compress(h + x + warc.CLOSE) if zipped else h + x + warc.CLOSE for h, x in parts)
+    assert list(warc.split_records(content[i : i + max(size, 2)] for i in range(0, len(content), max(size, 2)))) == parts
+
+
+def test_archive_of_nothing_of_long_payloads_and_of_clashing_columns(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "x" * 3_000_000), (2, "u", "x" * 3_000_000), (3, "v", "")], "page_id bigint, url string, html string")
+    pages = pages.select("*", *[F.lit(1).alias(c) for c in ("digest", "header", "payload", "n", "salt", "parts", "record_id")])
+    for frame, n in ((pages, 3), (pages.limit(0), 0)):
+        records_of = warc.records_of(frame)
+        warc.write_archive(records_of, str(tmp_path / str(n)))
+        got = warc.read_archive(spark, str(tmp_path / str(n)), 1).collect()
+        assert len(got) == n and all(r["verified"] for r in got)
+        assert {(r["record_id"], bytes(r["record"])) for r in got} == {(r["record_id"], bytes(r["header"] + r["payload"]) + warc.CLOSE) for r in records_of.collect()}
 
 
 def test_archive_of_odd_rows(spark):
@@ -421,6 +442,9 @@ def test_archive_of_odd_rows(spark):
     assert got == sorted([(0, b"h" + warc.CLOSE, True), (1, warc.CLOSE, True), (2, false + b"x" + warc.CLOSE, False), (2, false + b"x" + warc.CLOSE, False)], key=str)
     pages = spark.createDataFrame([(1, None, None), (None, "u", "h")], "page_id bigint, url string, html string")
     assert warc.records_of(pages).count() == 2
+    # A page whose stored digest isn't that of its body.
+    wrong = warc.records_of(pages).withColumn("payload", F.when(F.col("record_id") == 1, F.lit(b"other")).otherwise(F.col("payload")))
+    assert {r["record_id"]: r["verified"] for r in warc.rebuild(warc.headers(wrong), warc.payloads(wrong)).collect()} == {1: False, None: True}
     with pytest.raises(ValueError):
         list(warc.split_records(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort"))
 
@@ -512,6 +536,60 @@ def test_language_on_held_out_documents(spark):
     assert (got[got.n_chars > 500].predicted == got[got.n_chars > 500].lang).mean() > 0.99
 
 
+def plain_sizes(text: str, content: dict[str, bytes], level: int = langid.LEVEL) -> dict[str, int]:
+    low = text.lower().encode()
+    out = {}
+    for lang, data in content.items():
+        known = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        made = zstandard.ZstdCompressor(level=level, dict_data=known, write_content_size=False, write_dict_id=False)
+        out[lang] = sum(len(made.compress(low[at : at + langid.SEGMENT])) for at in range(0, len(low), langid.SEGMENT))
+    return out
+
+
+def test_the_query_against_plain_zstandard(spark, docs):
+    content = langid.dictionaries(docs, folds=2)
+    fold = {r["doc_id"]: r["k"] for r in docs.select("doc_id", langid.fold_of(F.col("text"), 2).alias("k")).collect()}
+    texts = {r["doc_id"]: (r["text"], r["lang"]) for r in docs.collect()}
+    # Whole documents of the other fold alone, within the bound.
+    for k, known in enumerate(content):
+        for lang, data in known.items():
+            parts = {t.lower() for i, (t, g) in texts.items() if fold[i] != k and g == lang}
+            assert len(data) <= langid.DICTIONARY_BYTES and any(data.startswith(x.encode() + b"\n") for x in parts)
+            assert not any(t.encode() + b"\n" in data for t in {t.lower() for i, (t, _) in texts.items() if fold[i] == k and len(t) > 200})
+    got = {r["doc_id"]: r for r in __spark_entry__.queries()["op8_language_id"](spark, SMALL).collect()}
+    assert got.keys() == texts.keys()
+    for i, (text, _) in texts.items():
+        if not tokens(text):
+            assert (got[i]["predicted"], got[i]["size"]) == ("und", None)
+            continue
+        (best, lang), (second, _) = sorted((n, g) for g, n in plain_sizes(text, content[fold[i]]).items())[:2]
+        margin = (second - best) / second
+        assert got[i]["size"] == best and got[i]["margin"] == pytest.approx(round(margin, 4))
+        assert got[i]["predicted"] == (lang if margin > langid.MARGIN else "und")
+
+
+def test_language_ties_margins_and_lengths():
+    rng = random.Random(3)
+    one, other = prose(rng, 400).encode(), "zwölf boxkämpfer jagen viktor quer über den großen sylter deich ".encode() * 60
+    judge = lambda content, *texts: langid.Languages(content).judge(pa.array(texts))
+    tie = judge({"a": one, "b": one}, "river stone cloud", None, "!!")
+    assert tie["predicted"].to_pylist() == ["und"] * 3 and tie["margin"].to_pylist() == [0.0, None, None]
+    assert judge({"a": one, "b": other}, prose(rng, 300), "quer über den großen sylter deich jagen")["predicted"].to_pylist() == ["a", "b"]
+    assert judge({"a": one}, "anything")["predicted"].to_pylist() == ["a"] and judge({}, "anything")["predicted"].to_pylist() == ["und"]
+    # One level at every length: a text is compressed as the sum of its segments.
+    text = "a lantern in the harbor " * 3000
+    for n in (1023, 1024, 1025, len(text)):
+        assert judge({"a": one, "b": other}, text[:n])["size"].to_pylist() == [min(plain_sizes(text[:n], {"a": one, "b": other}).values())]
+
+
+def test_labels_of_any_number_and_length(spark):
+    rows = [(i, f"text number {i} of a dirty label", f"x{i}") for i in range(300)] + [(1000 + i, prose(random.Random(i), 50), "en") for i in range(30)] + [(2000, "lang " * 30_000, "long")] * 2
+    (content,) = langid.dictionaries(table(spark, rows), languages=5)
+    assert len(content) == 5 and {"en", "long"} < content.keys() and len(content["long"]) == 150_001
+    got = langid.identified(table(spark, rows)).collect()
+    assert len(got) == len(rows)
+
+
 def test_language_of_odd_rows(odd, empty, docs):
     got = {r["doc_id"]: r for r in langid.identified(odd, docs).collect()}
     assert got[1]["predicted"] == got[2]["predicted"] == got[7]["predicted"] == "und" and got[1]["size"] is None
