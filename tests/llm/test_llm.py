@@ -339,33 +339,80 @@ def test_decontamination_goes_by_row_either_way(spark):
 # -- 4: classifier
 
 
-def test_held_out_accuracy_and_calibration(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    got = classifier.scored(docs, labels.where("doc_id % 3 <> 0")).toPandas().merge(labels.toPandas(), on="doc_id")
-    got = got[got.doc_id % 3 == 0]
-    good = got[got.quality == 1]
-    assert (got.keep == (got.quality == 1)).mean() > 0.9
-    assert good.keep.mean() > 0.95
-    loss = -np.log(np.where(got.quality == 1, got.probability, 1 - got.probability).clip(1e-6)).mean()
-    assert loss < 0.4
-
-
-def test_gathered_contexts_against_a_plain_loop():
-    texts = ["a b ## a", "", "b", None, "c a"]
-    sums, counts = np.zeros((classifier.ROWS, classifier.DIM)), np.zeros(classifier.ROWS, np.int64)
-    classifier.gather(pa.array(texts), sums, counts)
-    expected, number = np.zeros_like(sums), np.zeros_like(counts)
+@pytest.fixture(scope="module")
+def held_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = classifier.scored(docs.repartition(8), labels.where("doc_id % 2 <> 0")).toPandas().merge(labels.toPandas(), on="doc_id").merge(docs.select("doc_id", "n_chars").toPandas(), on="doc_id")
+    return got[got.doc_id % 2 == 0]
+
+
+def test_held_out_accuracy_and_calibration(held_out):
+    good = held_out[held_out.quality == 1]
+    assert (held_out.keep == (held_out.quality == 1)).mean() > 0.95
+    assert good.keep.mean() > 0.99
+    loss = -np.log(np.where(held_out.quality == 1, held_out.probability, 1 - held_out.probability).clip(1e-6)).mean()
+    assert loss < 0.15
+
+
+def test_bad_documents_kept_by_length(held_out):
+    """Short texts say too little; the shares kept fall with length."""
+    bad = held_out[held_out.quality == 0]
+    for low, high, most in ((250, 500, 0.6), (500, 1000, 0.3), (1000, 10**9, 0.1)):
+        assert bad[(bad.n_chars >= low) & (bad.n_chars < high)].keep.mean() <= most
+
+
+def test_word_vectors_against_a_plain_loop(spark):
+    rng = random.Random(8)
+    texts = ["a b ## a", "", "b", None, "c a", *(" ".join(rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(rng.randrange(30))) for _ in range(40))]
+    words, total, rare = classifier.word_vectors(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5))
+    sums, counts = {}, Counter()
     for text in texts:
-        h, _ = shared.hashed(shared.as_texts(pa.array([text])), 0, 1, symbols=True)
+        h, _ = shared.hashed(shared.as_texts(pa.array([text], pa.string())), 0, 1, symbols=True)
         index = classifier._index(h)
-        for i in range(len(h)):
-            row = int(h[i]) & (classifier.ROWS - 1)
-            number[row] += 1
+        for i, token in enumerate(h.view(np.int64).tolist()):
+            counts[token] += 1
             for j in range(max(0, i - classifier.REACH), min(len(h), i + classifier.REACH + 1)):
                 for place, sign in index:
-                    expected[row, place[j]] += sign[j]
-    assert (counts == number).all() and np.allclose(sums, expected)
+                    sums.setdefault(token, np.zeros(classifier.DIM))[place[j]] += sign[j]
+    got = {r["token"]: (r["n"], r["u"]) for r in words.collect()}
+    unit = lambda v: np.round(v / max(np.linalg.norm(v), 1e-9) * 32767)
+    assert total == sum(counts.values()) and got.keys() == {t for t, n in counts.items() if n >= classifier.MIN_COUNT}
+    for token, (n, u) in got.items():
+        assert n == counts[token] and (np.array(u) == unit(sums[token])).all()
+    assert (rare == unit(sum(v for t, v in sums.items() if counts[t] < classifier.MIN_COUNT))).all()
+
+
+def test_probabilities_against_a_plain_loop(spark):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 30) + (" river stone" if i % 2 else " $$ ## !!"), "en") for i in range(40)] + [(90, "", "en"), (91, "never seen before", "en")]
+    docs, labels = table(spark, rows), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    model = classifier.trained(docs, labels)
+    net, counts = model.net, {r["token"]: (r["n"], np.array(r["u"])) for r in model.words.collect()}
+
+    def vector(token):
+        n, u = counts.get(token, (0, model.rare))
+        w = classifier.RARE / (classifier.RARE + n / model.total)
+        return np.array([*np.round(u * w), 0 if token in counts else 32767, round(w * 32767)]) / 32767
+
+    hashes = {i: shared.hashed(shared.as_texts(pa.array([t])), 0, 1, symbols=True)[0].view(np.int64).tolist() for i, t, _ in rows}
+    every = sum(vector(t) for h in hashes.values() for t in h)
+    got = {r["doc_id"]: r["probability"] for r in classifier.scored(docs, labels).collect()}
+    for i, h in hashes.items():
+        total = sum((vector(t) for t in h), classifier.PRIOR * every / every[-1])
+        x = total[:-1] / total[-1]
+        x = (np.append(x, np.linalg.norm(x[: classifier.DIM])) - net.mean) / net.scale
+        logit = np.maximum(x @ net.w1 + net.b1, 0) @ net.w2 + net.b2
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-logit / net.temperature)) if h else 0, abs=1e-6)
+
+
+@pytest.mark.parametrize("held", [0, 7, 200])
+def test_a_vocabulary_that_is_not_held_whole_gives_the_same(spark, docs, odd, held):
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    both = docs.unionByName(odd.select(docs.columns))
+    whole = {(r["doc_id"], r["probability"], r["keep"]) for r in classifier.scored(both, labels).collect()}
+    assert {(r["doc_id"], r["probability"], r["keep"]) for r in classifier.scored(both, labels, held=held).collect()} == whole
+    rows = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    assert rows(classifier.passing(both, labels, held=held)) == rows(classifier.passing(both, labels))
 
 
 def test_classifier_of_odd_rows(spark, odd, empty):
@@ -374,15 +421,20 @@ def test_classifier_of_odd_rows(spark, odd, empty):
     assert len(got) == len(ODD) and all((r["probability"] == 0) == (r["doc_id"] in (1, 2, 7)) for r in got)
     assert classifier.scored(empty, labels).count() == 0
     assert classifier.scored(odd, labels.limit(0)).where("keep").count() == len(ODD) - 3
+    assert classifier.scored(odd, labels.where("quality = 0")).where("keep").count() == 0
+    assert classifier.scored(odd, labels.where("doc_id = 3")).where("keep").count() == len(ODD) - 3
     assert classifier.passing(odd, labels).columns == odd.columns
 
 
-def test_labels_of_unknown_documents_leave_the_sample_whole(spark):
+def test_the_sample_is_of_given_documents_once_each(spark):
     rng = random.Random(9)
     rows = [(i, prose(rng, 40) if i % 2 else "$$ ## !! " * 20, "en") for i in range(60)] + [(i, " \n", "en") for i in range(1000, 1400)]
     labels = spark.createDataFrame([(i, i % 2) for i in range(4000)], "doc_id bigint, quality int")
-    _, net = classifier.trained(table(spark, rows), labels, max_labelled=50)
+    net = classifier.trained(table(spark, rows), labels, max_labelled=50).net
     assert net is not None
+    again = classifier.trained(table(spark, rows * 3).repartition(3), labels, max_labelled=50).net
+    other = classifier.trained(table(spark, rows * 3), labels, max_labelled=50).net
+    assert (again.w1 == other.w1).all() and again.temperature == other.temperature
 
 
 # -- 5: archive
