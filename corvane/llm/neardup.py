@@ -13,9 +13,17 @@ row however many there are.  Within a key, groups are found by a search that
 compares each member with those not yet reached, so a key with thousands of near
 copies doesn't take all its pairs.
 
+A key of more than HOT signatures is never gathered in one task.  Its members are first
+compared with its least one, each by itself; the links so far are drawn together, and
+a key whose members are all in one group by then is done, which is so for copies
+however many.  What is left, keys that unlike texts share, is compared in blocks: each
+two blocks of a key meet in one task.
+
 Defined results: a null or wordless text has no signature and is in no group; a
-text of fewer words than a shingle is one shingle; a null id is left out of the
-result; a repeated id counts as one document (a row of each text).
+text of fewer words than a shingle is one shingle; texts of any length count in full;
+near_duplicates() leaves null ids out and takes a repeated id for one document (a row of
+each text), deduplicate() goes by row; of equals the least id stays; an empty table gives
+an empty one; extra columns of any name are kept by deduplicate() and left out otherwise.
 """
 
 from __future__ import annotations
@@ -37,6 +45,8 @@ CHUNKS = 8
 ERRORS = 1
 #: The largest distance that the chunks and errors guarantee; a Jaccard similarity of about 0.53.
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
+#: The most signatures of a key that one task compares.
+HOT = 4096
 
 _WIDTH = HASHES // CHUNKS
 _STRUCK = list(combinations(range(_WIDTH), ERRORS))
@@ -106,8 +116,8 @@ def chunk_keys(sig: np.ndarray) -> np.ndarray:
     return out
 
 
-def _listed(rows: DataFrame, with_sig: bool = True) -> DataFrame:
-    """(key, node, sig): a row for each signature under each of its keys, for rows of (node, sig)."""
+def _listed(rows: DataFrame) -> DataFrame:
+    """(key, node): a row for each signature under each of its keys, for rows of (node, sig)."""
     kind = rows.schema["node"].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,23 +126,20 @@ def _listed(rows: DataFrame, with_sig: bool = True) -> DataFrame:
                 part = batch.slice(at, 4096)
                 keys = chunk_keys(_matrix(part.column("sig")))
                 again = pa.array(np.repeat(np.arange(part.num_rows), keys.shape[1]))
-                columns = {"key": pa.array(keys.reshape(-1).view(np.int64)), "node": part.column("node").take(again)}
-                if with_sig:
-                    columns["sig"] = part.column("sig").take(again)
-                yield pa.RecordBatch.from_pydict(columns)
+                yield pa.RecordBatch.from_pydict({"key": pa.array(keys.reshape(-1).view(np.int64)), "node": part.column("node").take(again)})
 
-    return rows.select("node", "sig").mapInArrow(make, f"key bigint, node {kind}" + ", sig binary" * with_sig)
+    return rows.select("node", "sig").mapInArrow(make, f"key bigint, node {kind}")
 
 
-def _candidates(rows: DataFrame) -> DataFrame:
-    """The rows (node, sig) that share a key with another row.
+def _shared(rows: DataFrame) -> DataFrame:
+    """(key, n, lead, node, sig): the signatures under the keys that several of them have; n of them, of which lead is the least.
 
-    Most documents of a corpus share none, so the keys are first shuffled without
-    signatures; those of the candidates alone travel with their keys afterwards.
+    Most documents of a corpus share no key, so keys are first counted and joined without
+    signatures; those of the candidates alone travel afterwards, under their shared keys.
     """
-    of_key = Window.partitionBy("key")
-    several = _listed(rows, with_sig=False).withColumn("n", F.count("*").over(of_key)).where("n > 1").select("node").distinct()
-    return rows.join(several, "node", "left_semi")
+    listed = _listed(rows)
+    several = listed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1")
+    return listed.join(several, "key").join(rows.select("node", "sig"), "node").select("key", "n", "lead", "node", "sig")
 
 
 def _by_key(rows: DataFrame, handle, schema: str) -> DataFrame:
@@ -188,8 +195,9 @@ def forest(sig: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
     return edges
 
 
-def _edges(rows: DataFrame, distance: int) -> DataFrame:
-    kind = rows.schema["node"].dataType.simpleString()
+def _searched(keyed: DataFrame, distance: int) -> DataFrame:
+    """(a, b): links that connect what the pairs within the distance connect, in each key by itself, for rows of (key, node, sig)."""
+    kind = keyed.schema["node"].dataType.simpleString()
 
     def handle(table: pa.Table) -> Iterator[pa.RecordBatch]:
         found = _groups(table)
@@ -212,7 +220,48 @@ def _edges(rows: DataFrame, distance: int) -> DataFrame:
         real = low != high
         yield pa.RecordBatch.from_arrays([nodes.take(pa.array(high[real])), nodes.take(pa.array(low[real]))], names=["a", "b"])
 
-    return _by_key(_listed(_candidates(rows)), handle, f"a {kind}, b {kind}").where("a <> b")
+    return _by_key(keyed.select("key", "node", "sig"), handle, f"a {kind}, b {kind}").where("a <> b")
+
+
+def _to_lead(hot: DataFrame, distance: int) -> DataFrame:
+    """(a, b): each member of a key that is near its least one, linked to that."""
+    kind = hot.schema["node"].dataType.simpleString()
+    leads = shared.materialize(hot.where("node = lead").select(F.col("key").alias("k"), F.col("sig").alias("lead_sig")).distinct(), "leads")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                close = pa.array((_matrix(batch.column("sig")) != _matrix(batch.column("lead_sig"))).sum(1) <= distance)
+                yield pa.RecordBatch.from_arrays([batch.column("node").filter(close), batch.column("lead").filter(close)], names=["a", "b"])
+
+    rows = hot.where("node <> lead").join(leads, F.col("key") == F.col("k")).select("node", "lead", "sig", "lead_sig")
+    return rows.mapInArrow(near, f"a {kind}, b {kind}")
+
+
+def _in_blocks(hot: DataFrame, most: int) -> DataFrame:
+    """(key, node, sig): the members of each key in blocks of half of `most`, under a new key for every two of them."""
+    number = F.ceil(F.col("n") * 2 / most)
+    own = F.pmod(F.xxhash64("node"), number)
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), number - 1))
+    two = hot.withColumn("own", own).withColumn("other", other)
+    return two.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", "sig")
+
+
+def _roots(rows: DataFrame, distance: int, most: int = HOT) -> DataFrame:
+    """(node, root): the components of the pairs of (node, sig) within the distance, for nodes in pairs."""
+    shared_keys = shared.materialize(_shared(rows), "keys")
+    edges = _searched(shared_keys.where(F.col("n") <= most), distance)
+    hot = shared_keys.where(F.col("n") > most)
+    if hot.isEmpty():
+        return components(edges)
+    edges = shared.materialize(edges.unionByName(_to_lead(hot, distance)), "links")
+    first = components(edges)
+    labelled = hot.join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = labelled.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+    rest = shared.materialize(hot.join(mixed, "key").select("key", "n", "node", "sig"), "mixed")
+    if rest.isEmpty():
+        return first
+    return components(edges.unionByName(_searched(_in_blocks(rest, most), distance)))
 
 
 def near_pairs(sigs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id") -> DataFrame:
@@ -238,7 +287,7 @@ def near_pairs(sigs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id"
                     left, right = nodes.take(pa.array(np.full(len(take), s + i))), nodes.take(pa.array(take + s + i + 1))
                     yield pa.RecordBatch.from_arrays([pc.min_element_wise(left, right), pc.max_element_wise(left, right), pa.array(apart[take].astype(np.int32))], names=["a", "b", "distance"])
 
-    return _by_key(_listed(_candidates(rows)), handle, f"a {kind}, b {kind}, distance int").where("a < b")
+    return _by_key(_shared(rows).select("key", "node", "sig"), handle, f"a {kind}, b {kind}, distance int").where("a < b")
 
 
 def _contract(edges: DataFrame) -> DataFrame:
@@ -311,7 +360,7 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, most: int = HOT) -> DataFrame:
     """(doc_id, duplicate_of): every document but the first of its group, with that first (the least id).
 
     Groups are the connected components of the pairs within the distance.
@@ -320,7 +369,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError(f"the chunks guarantee distances up to {DISTANCE}")
     kept = shared.materialize(signatures(docs, id_col, text_col), "signatures")
     distinct = shared.materialize(kept.groupBy("sig").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "distinct")
-    roots = components(_edges(distinct.select("node", "sig"), distance)).where("node <> root")
+    roots = _roots(distinct.select("node", "sig"), distance, most).where("node <> root")
     exact = kept.join(distinct.where("n > 1").select("sig", "node"), "sig").where("doc_id <> node").select("doc_id", "node")
     nodes = exact.unionByName(roots.select(F.col("node").alias("doc_id"), "node"))
     found = nodes.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("duplicate_of"))
@@ -339,7 +388,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # Signatures get numbers, which hold once they are written.
     counted = kept.groupBy("sig").agg(F.count("*").alias("n"))
     distinct = shared.materialize(counted.select(F.monotonically_increasing_id().alias("node"), "sig", "n"), "distinct")
-    linked = components(_edges(distinct.select("node", "sig"), DISTANCE))
+    linked = _roots(distinct.select("node", "sig"), DISTANCE)
     several = distinct.join(linked, "node", "left").where("n > 1 OR root IS NOT NULL").select("sig", F.coalesce("root", "node").alias("root"))
     members = kept.join(several, "sig").groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
     first = members.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_hash")).alias("first"))

@@ -224,6 +224,20 @@ def test_groups_are_the_components_of_all_pairs(spark, copies, docs):
         assert {r["doc_id"]: r["duplicate_of"] for r in neardup.near_duplicates(frame).collect()} == expected
 
 
+@pytest.mark.parametrize("most", [2, 5, 16])
+def test_hot_keys_lose_no_link(spark, most):
+    """Keys of copies, of unlike texts with a passage in common, and of both, far above what a task may hold."""
+    rng = random.Random(12)
+    passage = prose(rng, 120)
+    rows = near_copies(rng, 2, 40) + [(1000 + i, passage + " " + prose(rng, rng.choice([20, 60, 120])), "en") for i in range(60)]
+    frame = table(spark, rows)
+    sigs = neardup.signatures(frame).toPandas()
+    keys = Counter(k for x in sigs.sig for k in neardup.chunk_keys(np.frombuffer(x, np.uint16)[None, :])[0].tolist())
+    assert sum(n > most for n in keys.values()) > 50
+    expected = {n: r for n, r in groups_of(brute_pairs(sigs), sigs.doc_id.tolist()).items() if n != r}
+    assert {r["doc_id"]: r["duplicate_of"] for r in neardup.near_duplicates(frame, most=most).collect()} == expected
+
+
 def test_near_duplicates_by_jaccard(spark, docs):
     """Recall of pairs by true similarity, well within the distance, and no pair of unlike texts."""
     shingles = {r["doc_id"]: {tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} for r in docs.collect() if (w := tokens(r["text"]))}
