@@ -12,8 +12,11 @@ joined on the fingerprints, and the candidate pairs are extended after; both way
 give the same rows.
 
 Defined results: null or empty texts, and texts of fewer than SPAN words, match
-nothing; each row of the documents is reported by itself, repeated or not, and a
-null id stays null.
+nothing; texts of any length are searched in full; each row of the documents is reported
+by itself, repeated or not, and a null id stays null; repeated items are reported as
+often as they are there; decontaminate() judges each row by its own text, whatever its
+id; an empty table, or an empty benchmark, has no match; extra columns of any name are
+kept by decontaminate() and left out by shared_spans().
 """
 
 from __future__ import annotations
@@ -180,11 +183,19 @@ def _joined(docs: DataFrame, items: DataFrame, schema: str) -> DataFrame:
     whole = pairs.join(left, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("d_text") == F.col("d_text2"))).join(right, F.col("i").eqNullSafe(F.col("item_id")) & (F.col("i_text") == F.col("i_text2")))
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Each text of a batch is hashed once, however many pairs it is in.
         for batch in batches:
-            for k in range(batch.num_rows):
-                one = batch.slice(k, 1)
-                for ids, found in _rows(one.column(0), one.column(1), Benchmark(one.column(2), one.column(3))):
-                    yield _batch(ids, one.column(2), found)
+            texts, items = (batch.column(k).cast(pa.large_string()).dictionary_encode() for k in (1, 3))
+            bench = Benchmark(list(range(len(items.dictionary))), items.dictionary)
+            low = pc.utf8_lower(texts.dictionary)
+            spans = {}
+            for start, end in shared.slices(low):
+                spans |= {(start + row, item): best for row, item, *best in bench.spans(*shared.hashed(low, start, end))}
+            pairs = zip(np.asarray(texts.indices).tolist(), np.asarray(items.indices).tolist(), strict=True)
+            found = [(row, 0, *spans[pair]) for row, pair in enumerate(pairs) if pair in spans]
+            if found:
+                rows = pa.array([x[0] for x in found])
+                yield _batch(batch.column(0).take(rows), batch.column(2).take(rows), found)
 
     return whole.select("doc_id", "text", "item_id", "item_text").mapInArrow(extend, schema)
 

@@ -55,6 +55,15 @@ FROM s GROUP BY doc_id, item_id
 """
 
 
+@query
+def spans_by_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3_decontamination gives, by the join of fingerprints that a benchmark of any size takes."""
+    return decontam.shared_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), broadcast_bytes=0)
+
+
+ORACLE["spans_by_join"] = ORACLE["op3_decontamination"]
+
+
 @query
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
