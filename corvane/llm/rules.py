@@ -1,16 +1,22 @@
 """Quality rules by distribution divergence.
 
-A document is compared with references of its own language, both summed over all
-documents of that language: the shares of seven character classes, and the shares
-of the COMMON most frequent words with one share for all other words.  The measure
-is the Jensen-Shannon distance (base 2, 0 to 1).  A document is judged by its
-characters only from MIN_CHARS characters on, and by its words only from MIN_WORDS
-words on, since short texts stray by chance.
+A document is compared with references of its own language: the shares of seven
+character classes, and the shares of the COMMON most frequent words with one share for
+all other words.  The measure is the Jensen-Shannon distance (base 2, 0 to 1).  A
+document is judged by its characters only from MIN_CHARS characters on, and by its words
+only from MIN_WORDS words on, since short texts stray by chance.
+
+References are a table, a row for each language, that references() sums over all
+documents of a corpus: a trusted one, or, where none is given, the one that is judged.
+Those of up to HELD languages are sent to every task (about 1 KB each); a larger table
+is joined with the documents.
 
 Defined results: a text that is null or has no word is rejected with null
 distances; a text too short for a comparison has a null distance there and isn't
-rejected by it; a null language is a language of its own; each row is judged by
-itself, repeated or not.  Ties among common words go to the lesser word.
+rejected by it, and neither is one of a language without references; texts of any length
+are counted in full; a null language is a language of its own; each row is judged by
+itself, repeated or not; ties among common words go to the lesser word; an empty table
+gives an empty one; extra columns of any name are kept by passing(), left out by judged().
 """
 
 from __future__ import annotations
@@ -30,6 +36,8 @@ MIN_CHARS = 250
 MIN_WORDS = 100
 MAX_CLASS_DISTANCE = 0.3
 MAX_WORD_DISTANCE = 0.35
+#: Languages whose references are sent to every task.
+HELD = 10_000
 
 CLASSES = ("lower", "upper", "digit", "space", "mark", "symbol", "other")
 NO_WORD = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
@@ -91,41 +99,56 @@ def class_totals(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(count, schema).groupBy("lang").agg(*[F.sum(x).alias(x) for x in names])
 
 
-class References:
-    """Both references of every language: a few dozen numbers for each, whatever the size of the corpus."""
+def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, classes, words, total): both references of every language, summed over all documents; a table in the shared folder."""
+    rows = shared.plain(docs, text=text_col, lang=lang_col).where("text IS NOT NULL")
+    words = common_words(rows).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "word", "n"))).alias("words"), F.max("total").alias("total"))
+    classes = class_totals(rows).select(F.col("lang").alias("l"), F.array(*[f"c_{x}" for x in CLASSES]).alias("classes"))
+    both = classes.join(words, F.col("l").eqNullSafe(F.col("lang")), "left")
+    return shared.materialize(both.select(F.col("l").alias("lang"), "classes", "words", F.coalesce("total", F.lit(0)).alias("total")), "references")
+
 
-    def __init__(self, words: list, classes: list) -> None:
-        self.langs = {row["lang"]: i for i, row in enumerate(classes)}
-        self.classes = np.array([[row[f"c_{x}"] for x in CLASSES] for row in classes] or np.zeros((0, 7)), float)
-        self.words = np.zeros((len(classes), COMMON + 1))
-        texts = pa.array([row["word"] for row in words], pa.large_string())
+class References:
+    """Both references of some languages: COMMON words and seven numbers for each, whatever the size of the corpus."""
+
+    def __init__(self, rows: list) -> None:
+        self.langs = {row["lang"]: i for i, row in enumerate(rows)}
+        # The last row is that of languages without references.
+        self.classes = np.array([row["classes"] for row in rows] + [[0] * 7], float)
+        self.words = np.zeros((len(rows) + 1, COMMON + 1))
+        found = [(i, w["word"], w["place"] - 1, w["n"]) for i, row in enumerate(rows) for w in row["words"] or ()]
+        texts = pa.array([x[1] for x in found], pa.large_string())
         hashes = shared.hashed(texts, 0, len(texts))[0] if len(texts) else np.zeros(0, np.uint64)
-        self.known, at = np.unique(hashes, return_inverse=True)
-        self.bin = np.full((len(classes), len(self.known) + 1), COMMON)
-        for row, k in zip(words, at, strict=True):
-            i = self.langs[row["lang"]]
-            self.bin[i, k] = row["place"] - 1
-            self.words[i, row["place"] - 1] = row["n"]
-            self.words[i, COMMON] = row["total"]
-        self.words[:, COMMON] -= self.words[:, :COMMON].sum(1)
+        lang, place = (np.array([x[k] for x in found], np.int64) for k in (0, 2))
+        keys = hashes + self._salt(lang)
+        order = np.argsort(keys)
+        self.known, self.bin = keys[order], np.append(place[order], COMMON)
+        self.words[lang, place] = [x[3] for x in found]
+        self.words[:-1, COMMON] = [row["total"] for row in rows] - self.words[:-1, :COMMON].sum(1)
+
+    @staticmethod
+    def _salt(lang: np.ndarray) -> np.ndarray:
+        return shared.mix(lang.astype(np.uint64) + np.uint64(1))
 
     def judge(self, texts: pa.Array, langs: pa.Array) -> dict[str, pa.Array]:
         texts = shared.as_texts(texts)
-        codes = np.array([self.langs[x] for x in langs.to_pylist()], np.int64)
+        codes = np.array([self.langs.get(x, len(self.langs)) for x in langs.to_pylist()], np.int64)
         classes = class_counts(texts)
         words = np.zeros((len(texts), COMMON + 1), np.int64)
         low = pc.utf8_lower(texts)
         for start, end in shared.slices(low):
             hashes, first = shared.hashed(low, start, end)
-            k = np.searchsorted(self.known, hashes)
+            row = np.repeat(np.arange(end - start), np.diff(first))
+            keys = hashes + self._salt(codes[start:end])[row]
+            k = np.searchsorted(self.known, keys)
             k[k == len(self.known)] = 0
             if len(self.known):
-                k = np.where(self.known[k] == hashes, k, len(self.known))
-            row = np.repeat(np.arange(end - start), np.diff(first))
-            words[start:end] = np.bincount(row * (COMMON + 1) + self.bin[codes[start:end][row], k], minlength=(end - start) * (COMMON + 1)).reshape(-1, COMMON + 1)
+                k = np.where(self.known[k] == keys, k, len(self.known))
+            words[start:end] = np.bincount(row * (COMMON + 1) + self.bin[k], minlength=(end - start) * (COMMON + 1)).reshape(-1, COMMON + 1)
         n_chars, n_words = classes.sum(1), words.sum(1)
         by_class, by_word = distance(classes, self.classes[codes]), distance(words, self.words[codes])
-        long_chars, long_words = (n_chars >= MIN_CHARS) & (n_words > 0), n_words >= MIN_WORDS
+        long_chars = (n_chars >= MIN_CHARS) & (n_words > 0) & (self.classes[codes].sum(1) > 0)
+        long_words = (n_words >= MIN_WORDS) & (self.words[codes].sum(1) > 0)
         keep = (n_words > 0) & ~(long_chars & (by_class > MAX_CLASS_DISTANCE)) & ~(long_words & (by_word > MAX_WORD_DISTANCE))
         return {
             "n_chars": pa.array(n_chars), "n_words": pa.array(n_words),
@@ -134,29 +157,42 @@ class References:
         }
 
 
-def judgement(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"):
-    """A function of (text, lang) columns that gives n_chars, n_words, class_distance, word_distance and keep."""
-    rows = shared.plain(docs, text=text_col, lang=lang_col).where("text IS NOT NULL")
-    # Languages of null texts alone have no reference; they are looked up all the same.
-    langs = shared.plain(docs, lang=lang_col).distinct()
-    classes = langs.join(class_totals(rows).withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left").drop("l").na.fill(0)
-    held = docs.sparkSession.sparkContext.broadcast(References(common_words(rows).collect(), classes.collect()))
+JUDGEMENT = "n_chars bigint, n_words bigint, class_distance double, word_distance double, keep boolean"
+
+
+def _with_judgement(docs: DataFrame, known: DataFrame | None, text_col: str, lang_col: str, held: int) -> DataFrame:
+    """The documents with one more column, _judgement."""
+    known = references(docs, text_col, lang_col) if known is None else known.select("lang", "classes", "words", "total")
+    shared.small_batches(docs.sparkSession)
+    text, lang = F.col(f"`{text_col}`"), F.col(f"`{lang_col}`")
+    if known.count() <= held:
+        sent = docs.sparkSession.sparkContext.broadcast(References(known.collect()))
+
+        @F.arrow_udf(JUDGEMENT)
+        def judge(text: pa.Array, lang: pa.Array) -> pa.Array:
+            return shared.struct_of(sent.value.judge(text, lang))
+
+        return docs.withColumn("_judgement", judge(text, lang))
 
-    @F.arrow_udf("n_chars bigint, n_words bigint, class_distance double, word_distance double, keep boolean")
-    def judge(text: pa.Array, lang: pa.Array) -> pa.Array:
-        return shared.struct_of(held.value.judge(text, lang))
+    @F.arrow_udf(JUDGEMENT)
+    def judge_by(text: pa.Array, lang: pa.Array, known: pa.Array) -> pa.Array:
+        # The references of the batch's languages, each once.
+        first = {x: row for row, x in enumerate(lang.to_pylist())}
+        rows = known.take(pa.array(list(first.values()), pa.int64())).to_pylist()
+        return shared.struct_of(References([x | {"lang": name} for name, x in zip(first, rows, strict=True) if x is not None]).judge(text, lang))
 
-    return judge
+    table = known.select(F.col("lang").alias("_l"), F.struct("classes", "words", "total").alias("_known"))
+    joined = docs.join(table, lang.eqNullSafe(table["_l"]), "left")
+    return joined.select(*[docs[f"`{c}`"] for c in docs.columns], judge_by(docs[f"`{text_col}`"], docs[f"`{lang_col}`"], F.col("_known")).alias("_judgement"))
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, lang, n_chars, n_words, class_distance, word_distance, keep) for every row."""
-    judge = judgement(docs, text_col, lang_col)
-    rows = shared.plain(docs, doc_id=id_col, lang=lang_col, text=text_col)
-    return rows.select("doc_id", "lang", judge("text", "lang").alias("j")).select("doc_id", "lang", "j.*")
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", known: DataFrame | None = None, held: int = HELD) -> DataFrame:
+    """(doc_id, lang, n_chars, n_words, class_distance, word_distance, keep) for every row; known is a table of references()."""
+    rows = _with_judgement(shared.plain(docs, doc_id=id_col, lang=lang_col, text=text_col), known, "text", "lang", held)
+    return rows.select("doc_id", "lang", "_judgement.*")
 
 
-def passing(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def passing(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", known: DataFrame | None = None, held: int = HELD) -> DataFrame:
     """The rows that the rules keep, all columns kept."""
-    judge = judgement(docs, text_col, lang_col)
-    return docs.where(judge(F.col(f"`{text_col}`"), F.col(f"`{lang_col}`"))["keep"])
+    rows = _with_judgement(docs, known, text_col, lang_col, held)
+    return rows.where(rows["_judgement"]["keep"]).drop("_judgement")
