@@ -46,10 +46,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: later reads survive the loss of any executor."""
+    """Write df to the shared folder and read it back: later reads survive the loss of any executor.
+
+    Results that are computed later may still read the table, so it is deleted when the driver ends.
+    """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    system, where = _file_system(df.sparkSession, path)
+    system.deleteOnExit(where)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     found._corvane_path = path
     return found
@@ -59,9 +69,9 @@ def discard(df: DataFrame) -> None:
     """Delete the files of a materialized table that nothing reads any more."""
     path = getattr(df, "_corvane_path", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        system, where = _file_system(df.sparkSession, path)
+        system.delete(where, True)
+        system.cancelDeleteOnExit(where)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -534,6 +534,28 @@ def test_rules_of_odd_rows(odd, empty):
     assert rules.judged(odd.where("text IS NULL")).collect()[0]["keep"] is False
 
 
+def test_rules_with_given_references_held_or_joined(spark, docs, odd):
+    both = docs.unionByName(odd.select(docs.columns))
+    known = rules.references(docs)
+    rows = lambda df: Counter(map(tuple, df.collect()))
+    assert rows(rules.judged(docs, known=known)) == rows(rules.judged(docs))
+    held = rules.judged(both, known=known)
+    assert rows(rules.judged(both, known=known, held=0)) == rows(held)
+    assert rows(rules.judged(odd, held=0)) == rows(rules.judged(odd))
+    # The null language isn't in these references: nothing to hold it against.
+    assert held.where("doc_id = 3 AND keep AND class_distance IS NULL").count() == 1
+    for frame in (both, odd):
+        assert rows(rules.passing(frame, known=known, held=0)) == rows(rules.passing(frame, known=known))
+    assert rules.passing(odd, held=0).columns == odd.columns
+    assert rules.judged(both, known=known.limit(0)).where("class_distance IS NOT NULL").count() == 0
+
+
+def test_rules_take_a_dirty_language_column(spark):
+    rows = [(i, f"some words of {i} " * 80, f"x{i}") for i in range(3000)]
+    got = rules.judged(table(spark, rows)).collect()
+    assert len(got) == 3000 and all(r["keep"] and r["class_distance"] == r["word_distance"] == 0 for r in got)
+
+
 def test_rules_keep_good_documents(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = rules.judged(docs).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("keep").cast("int")).alias("kept")).collect()
