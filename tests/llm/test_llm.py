@@ -115,10 +115,10 @@ def reference_value(text):
             value = either()
             at += 1
         else:
-            value = licenses.LICENCES.get(items[at].lower(), ("", licenses.REVIEW))[1]
+            value = licenses.DEFAULT.level(items[at])
             at += 1
         if at < len(items) and items[at].lower() == "with":
-            known = items[at + 1].lower() in licenses.EXCEPTIONS
+            known = items[at + 1].lower() in licenses.DEFAULT.exceptions
             at += 2
             value = max(value, licenses.REVIEW) if known else value
         return value
@@ -159,11 +159,32 @@ def test_every_tag_of_a_text_counts():
     assert licenses.scan(f"{tag}\nimport os")[::3] == ([], "review") and licenses.scan(tag)[1] == [""]
 
 
+def test_bare_ids_count_in_context_alone():
+    assert licenses.scan("It is licensed under the\n BSD-3-Clause, see below.") == (["BSD-3-Clause"], ["BSD-3-Clause"], 0, "allow")
+    assert licenses.scan('{"license": "GPL-2.0-only OR MIT"}')[0::3] == (["GPL-2.0-only", "MIT"], "allow")
+    assert licenses.scan("licensed under the terms of the MIT")[3] == "none" and licenses.scan("MIT GPL-3.0-only Zlib")[3] == "none"
+    assert licenses.scan("Available under the Apache License, Version 2.0")[0::3] == (["Apache-2.0"], "allow")
+
+
+@pytest.mark.parametrize(("text", "licence"), [
+    ("This notice may not be removed; the origin of this software must not be misrepresented", "Zlib"), ("under the SIL Open Font License, Version 1.1", "OFL-1.1"), ("Common Development and Distribution License", "CDDL-1.0"),
+    ("Server Side Public License", "SSPL-1.0"), ("Business Source License 1.1", "BUSL-1.1"), ("Python Software Foundation License", "PSF-2.0"), ("WTFPL", "WTFPL"), ("Mozilla Public License Version 1.1 (the", "MPL-1.1"),
+])
+def test_notices(text, licence):
+    assert licenses.scan(text)[0] == [licence]
+
+
+def test_a_vocabulary_of_ones_own(spark):
+    own = licenses.Vocabulary({"House-1.0": licenses.ALLOW, "Other": licenses.DENY}, ["House-exception"], {"The  House Licence": "House-1.0"})
+    rows = table(spark, [(1, "under the house licence", "en"), (2, "SPDX-License-Identifier: Other WITH House-exception", "en"), (3, "MIT License", "en")])
+    assert {r["doc_id"]: (r["licences"], r["verdict"]) for r in licenses.scanned(rows, known=own).collect()} == {1: (["House-1.0"], "allow"), 2: (["Other"], "review"), 3: ([], "none")}
+
+
 def test_licences_of_a_table_agree_with_plain_search(spark, docs, odd, empty):
     found = {r["doc_id"]: r for r in licenses.scanned(docs).collect()}
     for row in docs.collect():
         flat = " ".join(row["text"].lower().split())
-        hit = any(re.search(rf"(?<!\w){re.escape(p)}(?!\w)", flat) for p in licenses.NOTICES)
+        hit = any(re.search(rf"(?<!\w){re.escape(p)}(?!\w)", flat) for p in licenses.DEFAULT.notices) or any(t in flat for t in licenses.TAGS)
         assert (found[row["doc_id"]]["verdict"] != "none") == hit
     assert licenses.scanned(odd).count() == len(ODD) and licenses.scanned(empty).count() == 0
 
