@@ -11,9 +11,10 @@ documents that were held out from training.
 
 Contexts are added up by token within each task, then by token over all tasks; the
 vocabulary is a table in the shared folder that grows with the corpus.  The vectors of
-the HELD most frequent tokens are sent to every task (36 MB); documents' other tokens,
-if the vocabulary has more, are joined with the table.  Unit vectors are whole numbers
-of 16 bits, so sums don't depend on their order and both ways give the same result.
+the HELD most frequent tokens are sent to every task (36 MB); if the vocabulary has more,
+documents' other tokens that pass a Bloom filter of it (8 MB) are joined with the table.
+Unit vectors are whole numbers of 16 bits, so sums don't depend on their order and both
+ways give the same result.
 
 The network is fitted on MAX_LABELLED of the given documents that have a label and a
 token, those whose ids have the least hash, which bounds the fit and nothing else.
@@ -45,7 +46,7 @@ DIM = 32
 NONZERO = 2
 REACH = 2
 #: Tokens with fewer occurrences share one vector.
-MIN_COUNT = 5
+MIN_COUNT = 10
 #: The most vectors that are sent to every task.
 HELD = 1 << 19
 MAX_LABELLED = 8000
@@ -61,8 +62,10 @@ _SCALE = 32767
 #: Of a weighted vector: the unit vector, whether the token is rare, and the weight.
 _WIDTH = DIM + 2
 _FEATURES = DIM + 2
+#: Bits of the filter of the vocabulary beyond the held tokens.
+_BLOOM = 1 << 26
 #: Tokens of a task whose contexts are added up before they are passed on.
-_TOGETHER = 300_000
+_TOGETHER = 120_000
 
 
 # -- word vectors
@@ -110,14 +113,17 @@ def contexts(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
                     at.append(row[shift:] * DIM + place[:n])
                     weight.append(sign[:n] * same)
                 flat += np.bincount(np.concatenate(at), np.concatenate(weight), len(flat))
-        yield tokens, np.bincount(row), flat.reshape(-1, DIM).astype(np.int64)
+        yield tokens, np.bincount(row), flat.reshape(-1, DIM).astype(np.int32)
 
 
 _SUMS = "token bigint, n bigint, v binary"
 
 
 def _sum_batches(tokens: np.ndarray, counts: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of _SUMS; most contexts fit in a byte for each place, the others take eight."""
+    """Rows of _SUMS; most contexts fit in a byte for each place, the others take eight.
+
+    A task passes its sums on long before one of them fills 32 bits.
+    """
     narrow = np.abs(sums).max(1, initial=0) < 128
     for rows, kind in ((np.flatnonzero(narrow), np.int8), (np.flatnonzero(~narrow), np.int64)):
         for at in range(0, len(rows), 8192):
@@ -172,12 +178,12 @@ def word_vectors(docs: DataFrame) -> tuple[DataFrame, int, np.ndarray]:
             few = counts < MIN_COUNT
             rare_n, rare = rare_n + int(counts[few].sum()), rare + sums[few].sum(0)
             keep = ~few
-            return row_batch(tokens[keep], counts[keep], unit(sums[keep]).astype(np.int64))
+            return row_batch(tokens[keep], counts[keep], unit(sums[keep]))
 
         def row_batch(tokens: np.ndarray | None, counts: np.ndarray, u: np.ndarray) -> pa.RecordBatch:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(u) + 1, dtype=np.int32) * DIM), pa.array(u.reshape(-1)))
             ids = pa.nulls(len(u), pa.int64()) if tokens is None else pa.array(tokens)
-            return pa.RecordBatch.from_arrays([ids, pa.array(counts), lists], names=["token", "n", "u"])
+            return pa.RecordBatch.from_arrays([ids, pa.array(counts), lists, pa.nulls(len(u), pa.list_(pa.int64()))], names=["token", "n", "u", "rare"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -191,12 +197,14 @@ def word_vectors(docs: DataFrame) -> tuple[DataFrame, int, np.ndarray]:
         if last is not None:
             yield done(*last)
         # What the rare tokens of this partition add up to.
-        yield row_batch(None, np.array([rare_n]), rare[None, :])
+        rows = row_batch(None, np.array([rare_n]), np.zeros((1, DIM), np.int16))
+        sums = pa.ListArray.from_arrays(pa.array([0, DIM], pa.int32()), pa.array(rare))
+        yield pa.RecordBatch.from_arrays([*rows.columns[:3], sums], names=rows.schema.names)
 
     sums = docs.mapInArrow(collect, _SUMS).repartition("token").sortWithinPartitions("token")
-    words = shared.materialize(sums.mapInArrow(total, "token bigint, n bigint, u array<bigint>"), "words")
-    known = words.where("token IS NOT NULL")
-    rest = words.where("token IS NULL").agg(F.sum("n").alias("n"), *[F.sum(F.col("u")[j]).alias(f"u{j}") for j in range(DIM)]).first()
+    words = shared.materialize(sums.mapInArrow(total, "token bigint, n bigint, u array<smallint>, rare array<bigint>"), "words")
+    known = words.where("token IS NOT NULL").drop("rare")
+    rest = words.where("token IS NULL").agg(F.sum("n").alias("n"), *[F.sum(F.col("rare")[j]).alias(f"u{j}") for j in range(DIM)]).first()
     n = (known.agg(F.sum("n")).first()[0] or 0) + (rest["n"] or 0)
     return known, n, unit(np.array([[rest[f"u{j}"] or 0 for j in range(DIM)]], float))[0]
 
@@ -211,20 +219,54 @@ def weighted(n: np.ndarray, u: np.ndarray, total: int, rare: bool = False) -> np
     return out
 
 
+def _bits(hashes: np.ndarray) -> list[np.ndarray]:
+    """Three places of a hash in the filter."""
+    mixed = [shared.mix(hashes + np.uint64(seed)) for seed in (101, 102, 103)]
+    return [(x & np.uint64(_BLOOM - 1)).astype(np.int64) for x in mixed]
+
+
+def bloom_of(words: DataFrame) -> np.ndarray:
+    """The filter of all tokens of a vocabulary, made by the tasks and put together by place."""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(_BLOOM, bool)
+        for batch in batches:
+            for at in _bits(np.asarray(batch.column(0)).view(np.uint64)):
+                bits[at] = True
+        packed = np.packbits(bits, bitorder="little").view(np.int64)
+        used = np.flatnonzero(packed)
+        for at in range(0, len(used), 1 << 16):
+            part = used[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(packed[part])], names=["place", "bits"])
+
+    found = words.select("token").mapInArrow(fill, "place bigint, bits bigint").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(_BLOOM // 64, np.int64)
+    out[np.asarray(found.column("place").combine_chunks())] = np.asarray(found.column("bits").combine_chunks())
+    return out.view(np.uint8)
+
+
 class Words:
     """Weighted vectors of the held tokens, the vector of rare ones, and the mean over the corpus."""
 
-    def __init__(self, table: pa.Table, total: int, rare: np.ndarray, mean: np.ndarray, whole: bool) -> None:
+    def __init__(self, table: pa.Table, total: int, rare: np.ndarray, mean: np.ndarray, bloom: np.ndarray | None = None) -> None:
         tokens = np.asarray(table.column("token").combine_chunks()).view(np.uint64)
         order = np.argsort(tokens)
         self.tokens = tokens[order]
         u = np.asarray(table.column("u").combine_chunks().flatten()).reshape(-1, DIM)
         self.rows = np.concatenate([weighted(np.asarray(table.column("n").combine_chunks()), u, total)[order], weighted(np.zeros(1), rare[None, :], total, True)])
-        self.mean, self.whole = mean, whole
+        self.mean, self.bloom = mean, bloom
         self.begin = np.searchsorted(self.tokens, np.arange(1 << 16, dtype=np.uint64) << np.uint64(48)).astype(np.int32)
         self.begin = np.append(self.begin, np.int32(len(self.tokens)))
         self.depth = int(np.diff(self.begin).max(initial=0)).bit_length()
 
+    @property
+    def whole(self) -> bool:
+        return self.bloom is None
+
+    def perhaps(self, hashes: np.ndarray) -> np.ndarray:
+        """Which hashes may be in the rest of the vocabulary."""
+        return np.logical_and.reduce([(self.bloom[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1 for bit in _bits(hashes)])
+
     def place(self, hashes: np.ndarray) -> np.ndarray:
         """Each hash's row, or the last one, that of rare tokens."""
         top = (hashes >> np.uint64(48)).astype(np.int64)
@@ -241,7 +283,7 @@ class Words:
 
 
 def pooled(texts: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """(rows, _WIDTH) sums of each text's weighted vectors, which texts have a token, and, unless the vocabulary is held whole, each text's other tokens with their numbers.
+    """(rows, _WIDTH) sums of each text's weighted vectors, which texts have a token, and, unless the vocabulary is held whole, each text's other tokens that may be in it with their numbers.
 
     Tokens that aren't held count as rare ones here.
     """
@@ -261,6 +303,7 @@ def pooled(texts: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray, list[
         some[start:end] = np.diff(first) > 0
         if not words.whole:
             new = row == len(words.tokens)
+            new[new] = words.perhaps(hashes[new])
             for k in range(end - start):
                 own = slice(first[k], first[k + 1])
                 others.append(np.unique(hashes[own][new[own]], return_counts=True))
@@ -374,7 +417,7 @@ def vocabulary(docs: DataFrame, held: int = HELD) -> Model:
     rest = total - (row["n"] or 0)
     mean = np.array([float(row[f"s{j}"] or 0) for j in range(_WIDTH)]) + weighted(np.zeros(1), rare[None, :], total, True)[0].astype(float) * rest
     mean = mean / mean[DIM + 1] if mean[DIM + 1] else mean
-    broadcast = docs.sparkSession.sparkContext.broadcast(Words(first, total, rare, mean, size <= held))
+    broadcast = docs.sparkSession.sparkContext.broadcast(Words(first, total, rare, mean, bloom_of(words) if size > held else None))
     return Model(words, total, rare, broadcast)
 
 
@@ -401,19 +444,38 @@ def summed(rows: DataFrame, model: Model, whole: bool) -> DataFrame:
     if whole:
         return rows.mapInArrow(pool, schema)
     first = shared.materialize(rows.mapInArrow(pool, f"{schema}, tokens array<bigint>, times array<bigint>").withColumn("_row", F.monotonically_increasing_id()), "pooled")
-    low = weighted(np.zeros(1), rare[None, :], total, True)[0].astype(np.int64)
+    low = weighted(np.zeros(1), rare[None, :], total, True)[0].astype(np.int32)
 
     def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A token of the vocabulary was counted as a rare one: take that back.
         for batch in batches:
             u = np.asarray(batch.column("u").flatten()).reshape(-1, DIM)
-            yield pa.RecordBatch.from_arrays([batch.column("token"), lists(weighted(np.asarray(batch.column("n")), u, total).astype(np.int64) - low)], names=["token", "change"])
+            rows = np.ascontiguousarray(weighted(np.asarray(batch.column("n")), u, total) - low, np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("token"), pa.array([x.tobytes() for x in rows], pa.binary())], names=["token", "change"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held_sum = None, np.zeros(_WIDTH, np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            row, times = np.asarray(batch.column("_row")), np.asarray(batch.column("times"))
+            own = np.frombuffer(b"".join(batch.column("change").to_pylist()), np.int32).reshape(-1, _WIDTH) * times[:, None]
+            begin = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            rows, sums = row[begin], np.add.reduceat(own, begin)
+            if last == rows[0]:
+                sums[0] += held_sum
+            elif last is not None:
+                rows, sums = np.append(last, rows), np.concatenate([held_sum[None, :], sums])
+            last, held_sum = int(rows[-1]), sums[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:-1]), lists(sums[:-1])], names=["_row", "change"])
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([last]), lists(held_sum[None, :])], names=["_row", "change"])
 
     # Tokens that aren't held are rare enough for none of them to make a hot key.
-    table = model.words.mapInArrow(change, "token bigint, change array<bigint>")
+    table = model.words.mapInArrow(change, "token bigint, change binary")
     pairs = first.select("_row", F.explode(F.arrays_zip("tokens", "times")).alias("t")).select("_row", "t.tokens", "t.times")
-    changes = pairs.join(table, F.col("tokens") == F.col("token"))
-    changes = changes.groupBy("_row").agg(F.array(*[F.sum(F.col("change")[j] * F.col("times")) for j in range(_WIDTH)]).alias("change"))
+    changes = pairs.join(table, F.col("tokens") == F.col("token")).select("_row", "times", "change")
+    changes = changes.repartition("_row").sortWithinPartitions("_row").mapInArrow(add, "_row bigint, change array<bigint>")
     out = first.join(changes, "_row", "left")
     both = F.when(F.col("change").isNull(), F.col("sums")).otherwise(F.zip_with("sums", "change", lambda a, b: a + b))
     return out.select(*[F.col(f"`{x}`") for x in names], "some", both.alias("sums"))
