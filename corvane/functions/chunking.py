@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sentences a bucket when documents are numbered: only sums of buckets are ordered in one task.
+from corvane.functions.durable import materialize, spread
+
+#: Documents a bucket when chunks are numbered: only sums of buckets are ordered in one task.
 BUCKET = 1 << 16
 _SENTENCE_END = re.compile(r"(?<=[.!?;])(?=\s|$)")
 
@@ -124,7 +126,7 @@ def chunked(documents: DataFrame, grid: list[tuple[int, int]]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), *made], names=["doc_ord", "doc_id", "chunk_size", "chunk_overlap", "pos", "text", "token_count", "heading_path"])
 
     schema = f"doc_ord bigint, doc_id {kind}, chunk_size int, chunk_overlap int, pos int, text string, token_count int, heading_path array<string>"
-    return documents.select("doc_ord", "doc_id", "text").mapInArrow(make, schema)
+    return spread(documents.select("doc_ord", "doc_id", "text")).mapInArrow(make, schema)
 
 
 def chunks(documents: DataFrame, chunk_size: int, overlap: int) -> DataFrame:
@@ -135,9 +137,11 @@ def chunks(documents: DataFrame, chunk_size: int, overlap: int) -> DataFrame:
 def numbered(chunk_rows: DataFrame) -> DataFrame:
     """Adds chunk_ord, the running number over the corpus, and chunk_id.
 
-    Documents are counted, their counts are summed by buckets of document numbers, and
+    The chunks are written to the shared folder first, so they are made once.  Documents
+    are counted, their counts are summed by buckets of document numbers, and
     only the bucket sums, one for every 65536 documents, are accumulated in one task.
     """
+    chunk_rows = materialize(chunk_rows, "chunks")
     per_doc = chunk_rows.groupBy("doc_ord").agg(F.count("*").alias("n")).withColumn("bucket", F.floor(F.col("doc_ord") / BUCKET))
     sums = per_doc.groupBy("bucket").agg(F.sum("n").alias("n"))
     starts = sums.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("start"))

@@ -26,41 +26,13 @@ BATCH_TOKENS = 2000
 REMOTE_DIM = 1536
 
 
-def bucket(word: Column) -> Column:
-    """The place of a word: its SHA-256 modulo 64, for which the first byte is enough."""
-    return F.conv(F.substring(F.sha2(word, 256), 1, 2), 16, 10).cast("int") % DIM
-
-
-def bow_vector(text: Column) -> Column:
-    """The 64 word counts of a text as an array of floats."""
-    places = F.transform(T.words(text), bucket)
-    return F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("float"))
-
-
-def bow_table(rows: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """(key, bucket, n): the buckets of each text that aren't empty, by an aggregate instead of nested arrays."""
-    words = rows.select(key, F.explode(T.words(F.col(text_col))).alias("word"))
-    return words.groupBy(key, bucket(F.col("word")).alias("bucket")).agg(F.count("*").alias("n"))
-
-
-def norm(v: Column) -> Column:
-    return F.sqrt(F.aggregate(v, F.lit(0.0).cast("float"), lambda a, x: (a + x * x).cast("float"))).cast("float")
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity in single precision; 0 where a norm is 0."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x * y, F.lit(0.0).cast("float"))), F.lit(0.0).cast("float"), lambda s, x: (s + x).cast("float"))
-    size = (norm(a) * norm(b)).cast("float")
-    return F.when(size == 0, F.lit(0.0).cast("float")).otherwise((dot / size).cast("float"))
-
-
 @lru_cache(maxsize=1 << 20)
 def place_of(word: str) -> int:
     return hashlib.sha256(word.encode()).digest()[0] % DIM
 
 
 def bow(texts: list[str | None]) -> np.ndarray:
-    """(texts, 64) counts, as bow_vector() gives them."""
+    """(texts, 64) counts: a word's place is its SHA-256 modulo 64, for which the first byte is enough."""
     out = np.zeros((len(texts), DIM), np.float32)
     for row, text in enumerate(texts):
         if text:
@@ -69,7 +41,7 @@ def bow(texts: list[str | None]) -> np.ndarray:
 
 
 def bow_array(text: Column) -> Column:
-    """bow_vector() in Arrow batches, for longer texts."""
+    """The 64 word counts of a text as an array of floats, in Arrow batches."""
 
     @F.arrow_udf("array<float>")
     def vectors(texts: pa.Array) -> pa.Array:

@@ -150,15 +150,6 @@ def direction(token_list: Column, up: list[str], down: list[str]) -> Column:
     return F.when(rises & ~falls, "up").when(falls & ~rises, "down").otherwise("unknown")
 
 
-def strip_markup(html: Column) -> Column:
-    """Text of a page: without scripts, styles and tags, common entities replaced, white space squeezed."""
-    text = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", " ")
-    text = F.regexp_replace(text, r"(?s)<[^>]+>", " ")
-    for entity, char in (("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return F.array_join(words(text), " ")
-
-
 def page_slug(url: Column) -> Column:
     """A file name for a URL: host and path joined, other characters as underscores, 180 at most before the ending."""
     host = F.regexp_replace(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), ":", "_")

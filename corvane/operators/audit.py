@@ -116,7 +116,7 @@ def infer_pair(values: list[str]) -> tuple[str, str]:
 
 
 def period_values(facts: DataFrame, period_col: str, granularity: str) -> list[str]:
-    period = P.bucketed(F.col(f"`{period_col}`").cast("string"), granularity)
+    period = P.period_in(facts, period_col, granularity)
     return [r[0] for r in facts.select(period.alias("p")).where("p <> ''").distinct().orderBy("p").collect()]
 
 
@@ -185,7 +185,7 @@ def resolve(facts: DataFrame, answer: str, *, auto: bool = False, granularity: s
 def skipped_rows(facts: DataFrame, period_col: str, granularity: str) -> DataFrame:
     """One row: rows whose period is filled but can't be read at this granularity."""
     raw = F.col(f"`{period_col}`").cast("string")
-    return facts.agg(F.count_if((P.bucketed(raw, granularity) == "") & (T.trimmed(raw) != "") & F.lit(granularity != "raw")).alias("skipped"))
+    return facts.agg(F.count_if((P.period_in(facts, period_col, granularity) == "") & (T.trimmed(raw) != "") & F.lit(granularity != "raw")).alias("skipped"))
 
 
 def drivers(facts: DataFrame, group_by: tuple[str, ...], metric: str, period_col: str, baseline: str, current: str, granularity: str = "raw") -> DataFrame:
@@ -195,10 +195,9 @@ def drivers(facts: DataFrame, group_by: tuple[str, ...], metric: str, period_col
     """
     rows = facts.select(
         F.array(*[F.coalesce(T.trimmed(F.col(f"`{c}`").cast("string")), F.lit("")) for c in group_by]).alias("key_values"),
-        P.bucketed(F.col(f"`{period_col}`").cast("string"), granularity).alias("period"), F.col(f"`{metric}`").cast("string").alias("raw"),
+        P.period_in(facts, period_col, granularity).alias("period"), P.metric_in(facts, metric).alias("number"), F.col(f"`{metric}`").cast("string").alias("raw"),
     ).where(F.col("period").isin(baseline, current))
-    number = P.metric_of(F.col("raw"))
-    value = F.coalesce(number, F.raise_error(F.concat(F.lit("no number: "), F.coalesce("raw", F.lit("")))).cast("double"))
+    value = F.coalesce("number", F.raise_error(F.concat(F.lit("no number: "), F.coalesce("raw", F.lit("")))).cast("double"))
     sums = rows.groupBy("key_values").agg(
         F.coalesce(F.sum(F.when(F.col("period") == baseline, value)), F.lit(0.0)).alias("baseline"),
         F.coalesce(F.sum(F.when(F.col("period") == current, value)), F.lit(0.0)).alias("current"),

@@ -53,7 +53,7 @@ def matched(rules: DataFrame, runs: DataFrame) -> DataFrame:
     own_stem = F.when(file_name.rlike(r"^.+\.[^.]*$"), F.regexp_replace(file_name, r"\.[^.]*$", "")).otherwise(file_name)
     plain_runs = runs.select("run_ord", F.array(T.bare_id(F.col("run_id")), T.bare_id(own_stem)).alias("ids"), T.squeezed(F.col("question")).alias("q"))
     # Only runs that some rule could take are gathered: by either of their ids, or by their question.
-    known = F.broadcast(spark.createDataFrame([(x,) for x in sorted({r["i"] for r in plain_rules})], "i string")), F.broadcast(spark.createDataFrame([(x,) for x in sorted({r["q"] for r in plain_rules})], "k string"))
+    known = spark.createDataFrame([(x,) for x in sorted({r["i"] for r in plain_rules})], "i string"), spark.createDataFrame([(x,) for x in sorted({r["q"] for r in plain_rules})], "k string")
     by_id = plain_runs.withColumn("i", F.explode("ids")).join(known[0], "i", "left_semi").drop("i")
     by_question = plain_runs.join(known[1], F.col("q") == F.col("k"), "left_semi")
     plain_runs = by_id.union(by_question).distinct().orderBy("run_ord").collect()
@@ -110,7 +110,7 @@ def checked(joined: DataFrame) -> DataFrame:
 
 def evaluated(rules: DataFrame, runs: DataFrame) -> DataFrame:
     """A case result for every rule, those without a run included."""
-    pairs = F.broadcast(matched(rules, runs))
+    pairs = matched(rules, runs)
     found = runs.join(pairs, "run_ord").select("rule_ord", "answer", "retrieved_docs")
     cases = checked(rules.join(found, "rule_ord"))
     lost = rules.join(pairs.select("rule_ord"), "rule_ord", "left_anti")
@@ -121,7 +121,7 @@ def evaluated(rules: DataFrame, runs: DataFrame) -> DataFrame:
 
 def unmatched(rules: DataFrame, runs: DataFrame) -> DataFrame:
     """(run_ord, run_id) of the runs that no rule took."""
-    return runs.select("run_ord", "run_id").join(F.broadcast(matched(rules, runs)), "run_ord", "left_anti")
+    return runs.select("run_ord", "run_id").join(matched(rules, runs), "run_ord", "left_anti")
 
 
 def totals(cases: DataFrame) -> DataFrame:

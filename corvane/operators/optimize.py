@@ -1,17 +1,20 @@
 """Search over chunk sizes and overlaps.
 
 The grid is a column: documents are read once and chunked for every grid point in one
-pass, every chunk is scored once against all queries, and every figure of a grid point
-comes from aggregates grouped by it.
+pass, every chunk is scored once against all queries in one more, ranked within its grid
+point, and every figure of a grid point comes from aggregates grouped by it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.config import Config
 from corvane.functions.chunking import chunked
+from corvane.functions.durable import materialize
 from corvane.operators import retrieve
 
 SIZES = (200, 300, 400, 600)
@@ -32,29 +35,14 @@ def grid_of(sizes, overlaps) -> tuple[list[tuple[int, int]], int]:
     return kept, len(pairs) - len(kept)
 
 
-def ranked_by_point(chunks: DataFrame, queries: DataFrame, grid: list[tuple[int, int]], top_k: int) -> DataFrame:
-    """(chunk_size, chunk_overlap, query_id, query_ord, doc_id, rank, score): retrieval within each grid point.
-
-    The points' chunks are ranked one after the other in one job; each point keeps top_k rows a query and batch.
-    """
-    parts = []
-    for size, overlap in grid:
-        own = chunks.where((F.col("chunk_size") == size) & (F.col("chunk_overlap") == overlap))
-        found = retrieve.ranked(own, queries, top_k)
-        parts.append(found.select(F.lit(size).alias("chunk_size"), F.lit(overlap).alias("chunk_overlap"), "query_id", "query_ord", "doc_id", "rank", "score"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def candidates(documents: DataFrame, queries: DataFrame, config: Config, sizes=SIZES, overlaps=OVERLAPS) -> DataFrame:
+def candidates(documents: DataFrame, queries: DataFrame, config: Config, sizes=SIZES, overlaps=OVERLAPS, with_vectors: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
     """One row for each grid point with its figures and score, best first by `place`.
 
-    documents: (doc_ord, doc_id, text), normalised; queries: (query_id, query, query_ord, expect_docs).
+    documents: (doc_ord, doc_id, text), normalised; queries: (query_id, query, query_ord, expect_docs[, vector]).
+    with_vectors adds a vector to the chunks, where a remote embedder gives them.
     """
     grid, _ = grid_of(sizes, overlaps)
-    chunks = chunked(documents, grid).persist()
+    chunks = materialize(chunked(documents, grid), "grid")
     points = chunks.groupBy(*POINT).agg(
         F.count("*").alias("chunks"), F.countDistinct("doc_ord").alias("documents"),
         F.count_if(F.col("token_count") > config.max_tokens).alias("large_chunks"), F.count_if(F.col("token_count") < config.min_tokens).alias("small_chunks"),
@@ -62,7 +50,8 @@ def candidates(documents: DataFrame, queries: DataFrame, config: Config, sizes=S
     number = documents.agg(F.count("*").alias("documents"))
     points = points.drop("documents").crossJoin(F.broadcast(number))
     every = documents.sparkSession.createDataFrame(grid, "chunk_size int, chunk_overlap int")
-    ranks = ranked_by_point(chunks, queries, grid, config.top_k).persist()
+    found = retrieve.ranked(with_vectors(chunks), queries, config.top_k, within=tuple(POINT))
+    ranks = materialize(found.select(*POINT, "query_id", "query_ord", "doc_id", "rank", "score"), "ranks")
     first = queries.groupBy("query_id").agg(F.min("query_ord").alias("query_ord"))
     best = ranks.where("rank = 1").select(*POINT, "query_ord", "score", "doc_id")
     asked = queries.select("query_id", "query_ord").crossJoin(F.broadcast(every))

@@ -2,31 +2,34 @@
 
 A score is the cosine of two bags of words, plus a share for common terms and for the
 query as a phrase, less a penalty for long chunks, all in single precision.  Queries
-are the small side: their vectors, postings of terms and phrases are sent to every task,
-up to MAX_QUERIES of them at once; more are handled in blocks, each with a scan of its own.
-Each task scores a batch of chunks against all queries with a matrix product and keeps
-the best of each query, so what is shuffled is top_k rows a query and batch, whatever
-the number of pairs.
+are taken in blocks of MAX_QUERIES: vectors, postings of terms and phrases.  One block is
+sent to every task; more are written to the shared folder, where each task reads
+them one at a time, so the chunks are scanned once whatever the number of queries.
+Each task scores some thousands of chunks against a block with matrix products and keeps
+the best of each query, so what is shuffled is top_k rows a query and so many chunks.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.config import Config
 from corvane.functions import embed
 from corvane.functions import text as T
+from corvane.functions.durable import in_blocks, spread
 
 MAX_QUERIES = 5000
 ROWS = 256
+#: Chunks of a task that are scored before the best of each query are passed on.
+TOGETHER = 8192
 _TERM = re.compile(r"[a-z0-9]{2,}")
 f32 = np.float32
 
@@ -104,71 +107,127 @@ def _best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(np.ones_like(score, bool))
 
 
-def _block(chunks: DataFrame, block: QueryBlock, top_k: int, by: str) -> DataFrame:
-    kind = chunks.schema["doc_id"].dataType.simpleString()
-    held = chunks.sparkSession.sparkContext.broadcast(block)
+def _query_blocks(queries: DataFrame, max_queries: int) -> Iterable[QueryBlock]:
+    """The queries as one block that is sent, or as blocks in the shared folder."""
+    rows = queries.select("query_id", "query", "query_ord", *["vector"] * ("vector" in queries.columns))
+
+    def build(table: pa.Table) -> QueryBlock:
+        vectors = np.array(table.column("vector").to_pylist(), f32) if "vector" in table.column_names else None
+        return QueryBlock(*[table.column(c).to_pylist() for c in ("query_id", "query", "query_ord")], vectors)
+
+    first = rows.orderBy("query_ord").limit(max_queries + 1).toArrow()
+    if first.num_rows <= max_queries:
+        return Sent(queries.sparkSession.sparkContext.broadcast(build(first)))
+    return in_blocks(rows, "query_ord", -(-rows.count() // max_queries), build)
+
+
+class Sent:
+    """One block, held by every worker."""
+
+    def __init__(self, held: Broadcast) -> None:
+        self.held = held
+
+    def __iter__(self) -> Iterator:
+        yield self.held.value
+
+
+def _passes(batches: Iterator[pa.RecordBatch], rows: int = TOGETHER) -> Iterator[pa.Table]:
+    """The batches of a task in tables of so many rows or more."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _best_of_each(own: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k greatest scores of each query, those equal to the k-th included."""
+    order = np.lexsort((-score, own))
+    q, s = own[order], score[order]
+    begin = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
+    size = np.diff(np.append(begin, len(q)))
+    least = np.repeat(s[begin + np.minimum(size, k) - 1], size)
+    return order[s >= least]
+
+
+def _scored(chunks: DataFrame, blocks: Iterable[QueryBlock], top_k: int, by: str, extra: list[str]) -> DataFrame:
+    fields = [f"{x} {chunks.schema[x].dataType.simpleString()}" for x in (*extra, "doc_ord", "doc_id", "pos")]
     with_vector = "vector" in chunks.columns
 
+    def score(table: pa.Table, queries: QueryBlock) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]] = []
+        texts, counts = table.column("text").to_pylist(), np.asarray(table.column("token_count").fill_null(0))
+        vectors = np.array(table.column("vector").to_pylist(), f32) if with_vector else None
+        for at in range(0, table.num_rows, ROWS):
+            scored = queries.score(texts[at : at + ROWS], counts[at : at + ROWS], None if vectors is None else vectors[at : at + ROWS])
+            rows, own = _best(scored[by], top_k)
+            found.append((rows + at, own, {c: v[rows] if v.ndim == 1 else v[rows, own] for c, v in scored.items()}))
+        own = np.concatenate([x[1] for x in found])
+        best = _best_of_each(own, np.concatenate([x[2][by] for x in found]), top_k) if len(own) else np.zeros(0, np.int64)
+        rows, own = np.concatenate([x[0] for x in found])[best], own[best]
+        taken = pa.array(rows)
+        columns = {x: table.column(x).combine_chunks().take(taken) for x in (*extra, "doc_ord", "doc_id", "pos", "token_count")}
+        columns |= {"query_id": pa.array(queries.ids, pa.string()).take(pa.array(own)), "query_ord": pa.array(queries.orders, pa.int64()).take(pa.array(own)), "metadata_boost": pa.array(np.zeros(len(rows), f32))}
+        columns |= {c: pa.array(np.concatenate([x[2][c] for x in found])[best]) for c in found[0][2]}
+        yield pa.RecordBatch.from_pydict({c: columns[c] for c in names})
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = held.value
-        ids, orders = pa.array(queries.ids, pa.string()), pa.array(queries.orders, pa.int64())
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                counts = np.asarray(part.column("token_count").fill_null(0))
-                vectors = np.array(part.column("vector").to_pylist(), f32) if with_vector else None
-                scored = queries.score(part.column("text").to_pylist(), counts, vectors)
-                rows, own = _best(scored[by], top_k)
-                taken = pa.array(rows)
-                columns = {"query_id": ids.take(pa.array(own)), "query_ord": orders.take(pa.array(own)), "doc_ord": part.column("doc_ord").take(taken), "doc_id": part.column("doc_id").take(taken), "pos": part.column("pos").take(taken), "score": pa.array(scored["score"][rows, own])}
-                for name in _COMPONENTS:
-                    if name == "token_count":
-                        columns[name] = part.column("token_count").take(taken)
-                    elif name == "metadata_boost":
-                        columns[name] = pa.array(np.zeros(len(rows), f32))
-                    else:
-                        columns[name] = pa.array(scored[name][rows] if name == "length_penalty" else scored[name][rows, own])
-                yield pa.RecordBatch.from_pydict(columns)
-
-    names = ["doc_ord", "doc_id", "pos", "text", "token_count"] + ["vector"] * with_vector
-    return chunks.select(*names).mapInArrow(make, f"query_id string, query_ord bigint, doc_ord bigint, doc_id {kind}, pos int, score float, {COMPONENTS}")
-
-
-def ranked(chunks: DataFrame, queries: DataFrame, top_k: int, max_queries: int = MAX_QUERIES, by: str = "score") -> DataFrame:
+        for table in _passes(batches):
+            # Chunks of different grid points are never ranked together.
+            for part in _apart(table, extra):
+                for queries in blocks:
+                    if queries.ids:
+                        yield from score(part, queries)
+
+    schema = ", ".join([*fields, "query_id string, query_ord bigint, score float", COMPONENTS])
+    names = [*extra, "doc_ord", "doc_id", "pos", "query_id", "query_ord", "score", *_COMPONENTS]
+    wanted = [*extra, "doc_ord", "doc_id", "pos", "text", "token_count"] + ["vector"] * with_vector
+    return spread(chunks.select(*wanted)).mapInArrow(make, schema)
+
+
+def _apart(table: pa.Table, columns: list[str]) -> Iterator[pa.Table]:
+    """The rows of each combination of values."""
+    if not columns:
+        yield table
+        return
+    codes = np.zeros(table.num_rows, np.int64)
+    for column in columns:
+        values = table.column(column).combine_chunks().dictionary_encode()
+        codes = codes * len(values.dictionary) + np.asarray(values.indices)
+    for code in np.unique(codes):
+        yield table.filter(pa.array(codes == code))
+
+
+def ranked(chunks: DataFrame, queries: DataFrame, top_k: int, max_queries: int = MAX_QUERIES, by: str = "score", within: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, query_ord, doc_ord, doc_id, pos, rank, score, components): the best top_k chunks of each query.
 
     chunks: (doc_ord, doc_id, pos, text, token_count[, vector]); queries: (query_id, query, query_ord[, vector]).
     Ties go to the chunk that comes first in the corpus.  by="similarity" ranks by the cosine alone.
+    With columns to rank within, each combination of their values has a ranking of its own.
     """
-    rows = queries.select("query_id", "query", "query_ord", *["vector"] * ("vector" in queries.columns)).orderBy("query_ord").toArrow().to_pylist()
-    made = []
-    for at in range(0, max(len(rows), 1), max_queries):
-        part = rows[at : at + max_queries]
-        vectors = np.array([r["vector"] for r in part], f32) if part and "vector" in part[0] else None
-        made.append(_block(chunks, QueryBlock([r["query_id"] for r in part], [r["query"] for r in part], [r["query_ord"] for r in part], vectors), top_k, by))
-    found = reduce(DataFrame.unionByName, made)
-    best = Window.partitionBy("query_id", "query_ord").orderBy(F.desc(by), "doc_ord", "pos")
+    found = _scored(chunks, _query_blocks(queries, max_queries), top_k, by, list(within))
+    best = Window.partitionBy(*within, "query_id", "query_ord").orderBy(F.desc(by), "doc_ord", "pos")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
 
 
 def phrase_pairs(chunks: DataFrame, queries: DataFrame, max_queries: int = MAX_QUERIES) -> DataFrame:
     """(query_id, query_ord, doc_id): the documents that have a whole query as a phrase, found in one scan."""
-    rows = queries.select("query_id", "query", "query_ord").orderBy("query_ord").toArrow().to_pylist()
+    blocks = _query_blocks(queries, max_queries)
     kind = chunks.schema["doc_id"].dataType.simpleString()
-    made = []
-    for at in range(0, max(len(rows), 1), max_queries):
-        part = rows[at : at + max_queries]
-        held = chunks.sparkSession.sparkContext.broadcast(QueryBlock([r["query_id"] for r in part], [r["query"] for r in part], [r["query_ord"] for r in part]))
-
-        def find(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            queries = held.value
-            for batch in batches:
-                hits = [(row, q) for row, text in enumerate(batch.column(1).to_pylist()) for q in queries._phrases_in((text or "").lower())]
-                ids = batch.column(0).take(pa.array([r for r, _ in hits], pa.int64()))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _passes(batches):
+            texts = [(x or "").lower() for x in table.column(1).to_pylist()]
+            for queries in blocks:
+                hits = [(row, q) for row, text in enumerate(texts) for q in queries._phrases_in(text)]
+                ids = table.column(0).combine_chunks().take(pa.array([r for r, _ in hits], pa.int64()))
                 yield pa.RecordBatch.from_pydict({"query_id": pa.array([queries.ids[q] for _, q in hits], pa.string()), "query_ord": pa.array([queries.orders[q] for _, q in hits], pa.int64()), "doc_id": ids})
 
-        made.append(chunks.select("doc_id", "text").mapInArrow(find, f"query_id string, query_ord bigint, doc_id {kind}"))
-    return reduce(DataFrame.unionByName, made).distinct()
+    return spread(chunks.select("doc_id", "text")).mapInArrow(find, f"query_id string, query_ord bigint, doc_id {kind}").distinct()
 
 
 def explained(chunks: DataFrame, query: str, top_k: int) -> DataFrame:
@@ -178,74 +237,48 @@ def explained(chunks: DataFrame, query: str, top_k: int) -> DataFrame:
     return ranked(chunks, one, top_k).drop("query_id", "query_ord")
 
 
-# -- the same as expressions
-
-
-def components(query_terms: Column, chunk_terms: Column, phrase: Column, token_count: Column, similarity: Column) -> dict[str, Column]:
-    """The components of a score as columns, for plans that stay in the JVM; term sets come from T.terms()."""
-    real = lambda x: x.cast("float")
-    overlap = F.size(F.array_intersect(query_terms, chunk_terms))
-    share = real(real(overlap) / real(F.greatest(F.size(query_terms), F.lit(1))))
-    keyword = F.least(real(share * real(F.lit(0.15))), real(F.lit(0.15)))
-    boost = F.when(phrase, real(F.lit(0.08))).otherwise(real(F.lit(0.0)))
-    penalty = F.when(token_count > 800, F.least(real((real(token_count) - real(F.lit(800))) / real(F.lit(800))), real(F.lit(0.3)))).otherwise(real(F.lit(0.0)))
-    total = real(real(real(similarity + keyword) + boost) - penalty)
-    return {"similarity": similarity, "keyword_overlap": overlap, "keyword_overlap_norm": share, "keyword_boost": keyword, "phrase_match": phrase, "phrase_boost": boost, "length_penalty": penalty, "score": total}
-
-
-def pair_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every pair of a query and a chunk with its score and components, as a broadcast nested-loop join.
-
-    Vectors, norms, term sets and lower-cased texts are made once on each side, before the join.
-    """
-
-    def side(rows: DataFrame, text: str, prefix: str, *keep: str) -> DataFrame:
-        made = rows.select(*keep, F.lower(text).alias(f"{prefix}_low"), T.terms(F.col(text)).alias(f"{prefix}_terms"), embed.bow_array(F.col(text)).alias(f"{prefix}_vector"))
-        return made.withColumn(f"{prefix}_norm", embed.norm(F.col(f"{prefix}_vector")))
-
-    q = side(queries, "query", "q", "query_id", "query_ord")
-    c = side(chunks, "text", "c", "doc_ord", "doc_id", "pos", "token_count")
-    pairs = c.crossJoin(F.broadcast(q))
-    dot = F.aggregate(F.zip_with("q_vector", "c_vector", lambda x, y: x * y), F.lit(0.0).cast("float"), lambda s, x: (s + x).cast("float"))
-    size = (F.col("q_norm") * F.col("c_norm")).cast("float")
-    similarity = F.when(size == 0, F.lit(0.0).cast("float")).otherwise((dot / size).cast("float"))
-    parts = components(F.col("q_terms"), F.col("c_terms"), F.contains("c_low", "q_low"), F.col("token_count"), similarity)
-    return pairs.select("query_id", "query_ord", "doc_ord", "doc_id", "pos", "token_count", *[v.alias(k) for k, v in parts.items()])
-
-
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, max_queries: int = MAX_QUERIES, digits: int = 6) -> DataFrame:
     """(query_id, vec_id, rank, score): the k nearest vectors of every query vector by cosine, ties to the lesser id.
 
-    queries: (query_id, vector); vectors: (vec_id, vector).  Exact: every pair is scored in double precision, a batch
-    of vectors against a block of queries at a time, and a task keeps the best of each query and batch.
+    queries: (query_id, vector); vectors: (vec_id, vector).  Exact: every pair is scored in double precision, some
+    thousands of vectors against a block of queries at a time, and a task keeps the best of each query and as many
+    vectors.  Queries beyond one block lie in the shared folder, so vectors are scanned once.
     """
-    rows = queries.select("query_id", "vector").orderBy("query_id").toArrow()
     kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema["vec_id"].dataType.simpleString()
-    made = []
+    rows = queries.select("query_id", "vector")
 
-    def unit(column: pa.Array) -> np.ndarray:
+    def unit(column: pa.ChunkedArray) -> np.ndarray:
         v = np.array(column.to_pylist(), np.float64).reshape(len(column), -1)
         size = np.sqrt((v * v).sum(1, keepdims=True))
         return np.divide(v, size, out=np.zeros_like(v), where=size > 0)
 
-    for at in range(0, max(rows.num_rows, 1), max_queries):
-        part = rows.slice(at, max_queries)
-        held = vectors.sparkSession.sparkContext.broadcast((part.column("query_id").combine_chunks(), unit(part.column("vector").combine_chunks())))
+    def build(table: pa.Table) -> tuple[pa.Array, np.ndarray]:
+        return table.column("query_id").combine_chunks(), unit(table.column("vector"))
+
+    first = rows.limit(max_queries + 1).toArrow()
+    if first.num_rows <= max_queries:
+        blocks = Sent(vectors.sparkSession.sparkContext.broadcast(build(first)))
+    else:
+        blocks = in_blocks(rows, "query_id", -(-rows.count() // max_queries), build)
 
-        def score(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ids, q = held.value
-            for batch in batches:
-                if not len(q) or not batch.num_rows:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _passes(batches):
+            own_ids, own = table.column(0).combine_chunks(), unit(table.column(1))
+            for ids, q in blocks:
+                if not len(q):
                     continue
-                for start in range(0, batch.num_rows, 1024):
-                    own = batch.slice(start, 1024)
-                    scores = np.round(unit(own.column(1)) @ q.T, digits) + 0.0
+                found = []
+                for at in range(0, len(own), 1024):
+                    scores = np.round(own[at : at + 1024] @ q.T, digits) + 0.0
                     row, col = _best(scores, k)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(col)), own.column(0).take(pa.array(row)), pa.array(scores[row, col])], names=["query_id", "vec_id", "score"])
+                    found.append((row + at, col, scores[row, col]))
+                row, col, value = (np.concatenate(x) for x in zip(*found, strict=True))
+                best = _best_of_each(col, value, k)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(col[best])), own_ids.take(pa.array(row[best])), pa.array(value[best])], names=["query_id", "vec_id", "score"])
 
-        made.append(vectors.select("vec_id", "vector").mapInArrow(score, f"query_id {kinds[0]}, vec_id {kinds[1]}, score double"))
+    made = spread(vectors.select("vec_id", "vector")).mapInArrow(score, f"query_id {kinds[0]}, vec_id {kinds[1]}, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return reduce(DataFrame.unionByName, made).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return made.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def corpus_chunks(documents: DataFrame, config: Config) -> DataFrame:

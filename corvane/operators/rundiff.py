@@ -124,16 +124,3 @@ def diffed(pairs: DataFrame) -> DataFrame:
     )
     four = three.withColumn("root_cause", cause).withColumn("_sure", sure)
     return four.withColumns({"confidence": F.col("_sure.level"), "confidence_reason": F.col("_sure.reason"), "root_cause_message": message}).drop("_a", "_b", "_best_a", "_best_b", "_sure")
-
-
-def document_changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    """(key, doc_id, change, baseline_score, current_score, score_delta): the same over tables of (key, doc_id, score).
-
-    One full outer join on both keys; change is added, removed, shifted or kept.
-    """
-    a = before.select(key, "doc_id", F.col("score").cast("double").alias("baseline_score"))
-    b = after.select(key, "doc_id", F.col("score").cast("double").alias("current_score"))
-    both = a.withColumn("_a", F.lit(True)).join(b.withColumn("_b", F.lit(True)), [key, "doc_id"], "full_outer")
-    delta = F.col("current_score") - F.col("baseline_score")
-    change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(F.abs(delta) > SHIFT, "shifted").otherwise("kept")
-    return both.select(key, "doc_id", change.alias("change"), "baseline_score", "current_score", delta.alias("score_delta"))

@@ -67,7 +67,7 @@ def simulate_on(corpus: Corpus, query_rows: DataFrame, config: Config) -> Simula
     asked = with_vectors(query_rows, config, "query", False)
     found = retrieve.ranked(chunks, asked, config.top_k)
     named = corpus.chunks.select("doc_ord", "pos", "chunk_id")
-    return Simulation(query_rows, named.join(F.broadcast(found), ["doc_ord", "pos"]).persist())
+    return Simulation(query_rows, named.join(found, ["doc_ord", "pos"]).persist())
 
 
 def rows_of(df: DataFrame) -> list[dict]:
@@ -174,7 +174,9 @@ def optimize_report(spark: SparkSession, root: str, query_file: str, sizes, over
         raise ValueError("top_n must be above 0")
     docs = documents.read_documents(spark, root).withColumn("text", T.normalized(F.col("text"))).persist()
     _, skipped = optimize.grid_of(sizes, overlaps)
-    rows = rows_of(optimize.candidates(docs, queries.read_queries(spark, query_file), config, sizes, overlaps).orderBy("place").drop("place"))
+    asked = with_vectors(queries.read_queries(spark, query_file), config, "query", False)
+    found = optimize.candidates(docs, asked, config, sizes, overlaps, lambda chunks: with_vectors(chunks, config, "text", True))
+    rows = rows_of(found.orderBy("place").drop("place"))
     docs.unpersist()
     return {"meta": meta("optimize"), "queries_file": query_file, "considered": len(rows), "skipped": skipped, "top_n": top_n, "candidates": rows, "best": rows[0] if rows else None}
 

@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.config import Config
-from corvane.functions import chunking, embed
+from corvane.functions import embed
 from corvane.functions import periods as P
 from corvane.functions import text as T
-from corvane.operators import audit, compare, diagnose, evaluate, optimize, retrieve, rundiff
-from corvane.sources import traces
+from corvane.functions.durable import spread
+from corvane.operators import audit, compare, diagnose, evaluate, retrieve, rundiff
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -128,7 +128,8 @@ BUCKET = "CAST('0x' || substr(sha256({0}), 1, 2) AS INTEGER) % 64"
 
 @query(f"SELECT doc_id, {BUCKET.format('w')} AS bucket, count(*) AS n FROM (SELECT doc_id, unnest({DOC_WORDS}) AS w FROM documents) GROUP BY ALL")
 def bow_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embed.bow_table(documents(spark, sf_dir), "doc_id")
+    rows = documents(spark, sf_dir).select("doc_id", "text")
+    return spread(rows).select("doc_id", F.posexplode(embed.bow_array(F.col("text"))).alias("bucket", "n")).where("n > 0").withColumn("n", F.col("n").cast("bigint"))
 
 
 @query(r"""
@@ -177,12 +178,6 @@ def explain_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(spark, sf_dir).select("query_id", "doc_id", "rank", "keyword_overlap", "phrase_match", "token_count", *[six(c).alias(c) for c in real])
 
 
-@query(f"WITH {PAIRS} SELECT CAST(item_id AS VARCHAR) AS query_id, doc_id, round(CAST(score AS DOUBLE), 6) AS score FROM t")
-def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The expression form of the score, over every pair."""
-    return retrieve.pair_scores(doc_chunks(spark, sf_dir), bench_queries(spark, sf_dir)).select("query_id", "doc_id", six("score").alias("score"))
-
-
 TOP = f"""WITH {PAIRS}, b AS (SELECT q.item_id, coalesce(k.score, CAST(0 AS FLOAT)) AS score FROM q LEFT JOIN k ON k.item_id = q.item_id AND k.rank = 1)"""
 LOW, NONE = f"score < CAST({CONFIG.low_sim_threshold} AS FLOAT)", f"score < CAST({CONFIG.no_match_threshold} AS FLOAT)"
 
@@ -282,66 +277,24 @@ def chunk_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("severity", "code", F.regexp_extract("message", r"^(\d+)", 1).cast("bigint").alias("n"))
 
 
-@query()
-def chunks_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks with overlap, numbered over the corpus."""
-    rows = documents(spark, sf_dir).select(F.col("doc_id").alias("doc_ord"), "doc_id", T.normalized(F.col("text")).alias("text"))
-    return chunking.numbered(chunking.chunks(rows, CONFIG.chunk_size, CONFIG.chunk_overlap)).select("chunk_id", "doc_id", "pos", "chunk_ord", "token_count", "text")
-
-
-#: Lines up to the size, packed greedily; longer ones are cut into sentences, and those into words.
-CHUNK_SQL = rf"""
-WITH RECURSIVE lines AS (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {TRIM.format("x")}), lambda x: x <> '') AS l FROM documents)),
-sized AS (SELECT *, len({WORDS.format("line")}) AS n FROM lines),
-sent AS (SELECT doc_id, i, generate_subscripts(s, 1) AS j, unnest(s) AS sentence FROM (SELECT doc_id, i, list_filter(list_transform(regexp_split_to_array(regexp_replace(line, '([.!?;])(\s|$)', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: {TRIM.format("x")}), lambda x: x <> '') AS s FROM sized WHERE n > 400)),
-pieces AS (SELECT doc_id, i, j, generate_subscripts(c, 1) AS h, unnest(c) AS n, len(c) > 1 AS hard FROM (SELECT doc_id, i, j, list_transform(range(0, greatest(len(w), 1), 400), lambda a: least(400, len(w) - a)) AS c FROM (SELECT doc_id, i, j, {WORDS.format("sentence")} AS w FROM sent))),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, i ORDER BY j, h) AS k FROM pieces),
-packed(doc_id, i, k, n, hard, seg, fill) AS (
-  SELECT doc_id, i, k, n, hard, 1, n FROM numbered WHERE k = 1
-  UNION ALL
-  SELECT p.doc_id, p.i, m.k, m.n, m.hard, CASE WHEN m.hard OR p.hard OR p.fill + m.n > 400 THEN p.seg + 1 ELSE p.seg END, CASE WHEN m.hard OR p.hard OR p.fill + m.n > 400 THEN m.n ELSE p.fill + m.n END
-  FROM packed p JOIN numbered m ON m.doc_id = p.doc_id AND m.i = p.i AND m.k = p.k + 1),
-segs AS (SELECT doc_id, i, seg, sum(n) AS n FROM packed GROUP BY doc_id, i, seg UNION ALL SELECT doc_id, i, 1, n FROM sized WHERE n <= 400),
-ordered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, seg) AS k FROM segs),
-filled(doc_id, k, pos, fill) AS (
-  SELECT doc_id, k, 0, n FROM ordered WHERE k = 1
-  UNION ALL
-  SELECT f.doc_id, o.k, CASE WHEN f.fill + o.n > 400 THEN f.pos + 1 ELSE f.pos END, CASE WHEN f.fill + o.n > 400 THEN o.n ELSE f.fill + o.n END
-  FROM filled f JOIN ordered o ON o.doc_id = f.doc_id AND o.k = f.k + 1)
-SELECT doc_id, pos, CAST(max(fill) AS INTEGER) AS token_count FROM filled GROUP BY doc_id, pos
-"""
-
-
-@query(CHUNK_SQL)
-def chunks_no_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents(spark, sf_dir).select(F.col("doc_id").alias("doc_ord"), "doc_id", "text")
-    return chunking.chunks(rows, 400, 0).select("doc_id", "pos", "token_count")
-
-
-@query()
-def chunk_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents(spark, sf_dir).select(F.col("doc_id").alias("doc_ord"), "doc_id", "text")
-    return diagnose.overlaps(chunking.chunks(rows, CONFIG.chunk_size, CONFIG.chunk_overlap)).select("doc_id", "pos", "overlap")
-
-
 @query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS size FROM embeddings),
-s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.v, b.v) / (a.size * b.size), 6) AS score FROM v a CROSS JOIN v b),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.v, b.v) / (a.size * b.size), 6) AS score FROM v a CROSS JOIN v b WHERE a.vec_id % 50 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) SELECT query_id, vec_id, rank, score FROM r WHERE rank <= 10""")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest neighbours of every vector, itself among them."""
+    """The ten nearest neighbours, itself among them, of every vector whose id 50 divides."""
     rows = table(spark, sf_dir, "embeddings")
     vectors = rows.select("vec_id", F.col("embedding").alias("vector"))
-    return retrieve.vector_topk(vectors.withColumnRenamed("vec_id", "query_id"), vectors, 10).select("query_id", "vec_id", "rank", "score")
+    return retrieve.vector_topk(vectors.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), vectors, 10).select("query_id", "vec_id", "rank", "score")
 
 
 # -- audit
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as facts: nation, flag, ship date and price, all text."""
+    """Line items as facts: nation, flag, ship date and price."""
     item, order, customer, nation = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "nation"))
     rows = item.join(order, item.l_orderkey == order.o_orderkey).join(customer, order.o_custkey == customer.c_custkey).join(nation, customer.c_nationkey == nation.n_nationkey)
-    return rows.select("n_name", "l_returnflag", F.col("l_shipdate").cast("string").alias("ship_date"), F.col("l_extendedprice").cast("string").alias("revenue"))
+    return rows.select("n_name", "l_returnflag", F.col("l_shipdate").alias("ship_date"), F.col("l_extendedprice").alias("revenue"))
 
 
 SALES = "SELECT n_name, l_returnflag, l_shipdate, l_extendedprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
@@ -470,13 +423,22 @@ x AS (SELECT item_id, doc_id, round(CAST(score AS DOUBLE), 6) AS s FROM k), y AS
 SELECT CAST(coalesce(x.item_id, y.item_id) AS VARCHAR) AS query_id, coalesce(x.doc_id, y.doc_id) AS doc_id, CASE WHEN x.s IS NULL THEN 'added' WHEN y.s IS NULL THEN 'removed' WHEN abs(y.s - x.s) > 0.15 THEN 'shifted' ELSE 'kept' END AS change,
   x.s AS baseline_score, y.s AS current_score, round(y.s - x.s, 6) AS score_delta FROM x FULL JOIN y ON x.item_id = y.item_id AND x.doc_id = y.doc_id""")
 def run_diff_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full scores against cosine similarity alone: which documents come and go."""
-    alone = ranked(spark, sf_dir, "similarity")
-    rows = rundiff.document_changes(ranked(spark, sf_dir).select("query_id", "doc_id", six("score").alias("score")), alone.select("query_id", "doc_id", six("similarity").alias("score")), "query_id")
-    return rows.withColumn("score_delta", F.round("score_delta", 6))
-
-
-DOC_STRUCT = "array<struct<id:string,text:string,score:double,source:string,metadata:map<string,string>>>"
+    """Full scores against cosine similarity alone, as runs of one query: which documents come and go."""
+    sides = {}
+    for side, by in (("baseline", "score"), ("current", "similarity")):
+        doc = F.struct(F.col("doc_id").cast("string").alias("id"), F.lit("").alias("text"), six(by).alias("score"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("map<string,string>").alias("metadata"))
+        listed = ranked(spark, sf_dir, by).groupBy("query_id").agg(F.collect_list(doc).alias("docs"))
+        sides[side] = listed.select("query_id", F.struct(F.col("query_id").alias("question"), F.lit("").alias("answer"), F.col("docs").alias("retrieved_docs")).alias(side))
+    found = rundiff.diffed(sides["baseline"].join(sides["current"], "query_id"))
+    real = lambda x: x.cast("double")
+    row = lambda d, change, a, b: F.struct(d["id"].cast("bigint").alias("doc_id"), change.alias("change"), real(a).alias("baseline_score"), real(b).alias("current_score"))
+    none = F.lit(None)
+    shifted = lambda d: F.when(F.abs(d["score_delta"]) > rundiff.SHIFT, "shifted").otherwise("kept")
+    rows = F.concat(
+        F.transform("added_docs", lambda d: row(d, F.lit("added"), none, d["score"])), F.transform("removed_docs", lambda d: row(d, F.lit("removed"), d["score"], none)),
+        F.transform("common_docs", lambda d: row(d, shifted(d), d["baseline_score"], d["current_score"])),
+    )
+    return found.select("query_id", F.explode(rows).alias("r")).select("query_id", "r.*", F.round(F.col("r.current_score") - F.col("r.baseline_score"), 6).alias("score_delta"))
 
 
 @query(f"""WITH {TURNS}, s AS (SELECT *, {_set_sql('answer', T.EVAL_STOP)} AS ta, {_set_sql('question', T.EVAL_STOP)} AS tq FROM a),
@@ -524,47 +486,3 @@ def compare_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         sides.append(row.select(F.col("avg_top1_similarity").alias(f"avg_top1_similarity_{side}"), F.col("low_similarity_queries").alias(f"weak_matches_{side}"), F.col("no_match_queries").alias(f"no_matches_{side}"), F.col("rate").alias(f"top1_dominant_rate_{side}")))
     found = compare.verdict(sides[0].crossJoin(sides[1]))
     return found.select(F.array_join("improved_metrics", ",").alias("improved"), F.array_join("regressed_metrics", ",").alias("regressed"), "verdict", F.col("weak_matches_before").alias("weak_before"), F.col("weak_matches_after").alias("weak_after"), F.col("no_matches_before").alias("none_before"), F.col("no_matches_after").alias("none_after"))
-
-
-@query()
-def optimize_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunk sizes and overlaps with their scores, best first by place."""
-    rows = documents(spark, sf_dir).select(F.col("doc_id").alias("doc_ord"), "doc_id", T.normalized(F.col("text")).alias("text"))
-    return optimize.candidates(rows, expecting(spark, sf_dir), CONFIG, (200, 400), (0, 40))
-
-
-@query()
-def run_diff_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full reports on consecutive answers of each conversation, each with its question as a document."""
-    rows = turns(spark, sf_dir)
-    doc = F.array(F.struct(F.concat(F.lit("turn"), (F.col("turn") - 1).cast("string")).alias("id"), F.col("question").alias("text"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("map<string,string>").alias("metadata")))
-    run = rows.withColumn("current", F.struct(F.lit("same").alias("question"), "answer", doc.alias("retrieved_docs")))
-    pairs = run.withColumn("baseline", F.lag("current").over(Window.partitionBy("conv_id").orderBy("turn"))).where("baseline IS NOT NULL")
-    out = rundiff.diffed(pairs.select("conv_id", "turn", "baseline", "current"))
-    return out.select("conv_id", "turn", "change_type", "root_cause", "confidence", F.size("added_docs").alias("added"), F.size("removed_docs").alias("removed"), "alignment.current_best_doc_id", six("alignment.current_overlap").alias("overlap"))
-
-
-# -- pages and traces
-
-
-@query(r"""
-WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g') AS t FROM pages),
-b AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS t FROM a)
-SELECT page_id, array_to_string(list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> ''), ' ') AS text FROM b
-""")
-def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", T.strip_markup(F.col("html")).alias("text"))
-
-
-@query(r"""
-WITH p AS (SELECT page_id, regexp_replace(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1), ':', '_', 'g') AS host, regexp_replace(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '^/+|/+$', '', 'g') AS path FROM pages)
-SELECT page_id, left(regexp_replace(host || '_' || CASE WHEN path = '' THEN 'index' ELSE replace(path, '/', '_') END, '[^0-9A-Za-z_.-]+', '_', 'g'), 180) || '.txt' AS slug FROM p
-""")
-def page_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", T.page_slug(F.col("url")).alias("slug"))
-
-
-@query("SELECT event_id, coalesce(json_extract_string(props, '$.k'), json_extract_string(props, '$.page'), json_extract_string(props, '$.ref')) AS value FROM events")
-def json_pointer_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first of some pointers into the events' properties that has a value."""
-    return table(spark, sf_dir, "events").select("event_id", traces.first_at(F.col("props"), ("/k", "/page", "/ref")).alias("value"))

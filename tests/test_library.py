@@ -180,8 +180,8 @@ def test_overlap(spark, a, b, n):
 
 
 def test_periods_and_figures(spark):
-    days = ["2026-01", "2026/02", "2026-1-3", "03/04/2026", "05-06-2026", "2026-01-31T23:30:00+05:00", "2026-01-31 10:00", "2026-01-31T10:00:00.5Z", "2026-13", "soon", ""]
-    assert column(spark, days, lambda c: P.bucketed(c, "month")) == ["2026-01", "2026-02", "2026-01", "2026-03", "2026-06", "2026-01", "2026-01", "2026-01", "", "", ""]
+    days = ["2026-01", "2026/02", "2026-1-3", "03/04/2026", "05-06-2026", "2026-01-31T23:30:00+05:00", "2026-01-31 10:00", "2026-01-31T10:00:00.5Z", "2026-13", "soon", "", "2026-01-15 99:99", "2026-01-15T10:00+00:00", "2026-01-15 10:00:00.5", "2026-01-15 24:00", "2026-1-5T9:5:60", "2026-01-15 10:00:00.5+01:00", "2026-01-15T10:00:00z", "2026-01-15Z", "2026-01-15T10:00:00+0530"]
+    assert column(spark, days, lambda c: P.bucketed(c, "month")) == ["2026-01", "2026-02", "2026-01", "2026-03", "2026-06", "2026-01", "2026-01", "2026-01", "", "", "", "", "", "", "", "2026-01", "2026-01", "2026-01", "", "2026-01"]
     assert column(spark, ["2027-01-01"], lambda c: P.bucketed(c, "week")) == ["2026-W53"]
     assert column(spark, ["1,234.5", "$5", "(7)", "$(8)", "($9)", "1d", "x", " -3e2 "], P.metric_of) == [1234.5, 5.0, -7.0, -8.0, None, None, None, -300.0]
 
@@ -221,9 +221,7 @@ def test_chunk_numbers_do_not_depend_on_partitions(spark):
 
 def test_vectors_agree(spark):
     texts = ["The cat the", "", "x  y\nx"]
-    assert np.allclose(column(spark, texts, embed.bow_vector), embed.bow(texts)) and np.allclose(column(spark, texts, embed.bow_array), embed.bow(texts))
-    pairs = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<float>, b array<float>")
-    assert [round(r[0], 6) for r in pairs.select(embed.cosine(F.col("a"), F.col("b"))).collect()] == [0.707107, 0.0]
+    assert np.allclose(column(spark, texts, embed.bow_array), embed.bow(texts)) and embed.bow(texts).sum(1).tolist() == [3, 0, 3]
 
 
 def test_remote_batches_and_retries():
@@ -295,14 +293,6 @@ def test_ranking_against_brute_force(small, block):
     assert len(got) == 25 and got["q4", 1][0] == "d41" and got["q4", 2][0] == "d42"
 
 
-def test_expressions_and_batches_give_the_same_scores(small):
-    _, _, chunks, rows = small
-    every = {(r["query_id"], r["doc_id"]): r["score"] for r in retrieve.pair_scores(chunks, rows).collect()}
-    assert len(every) == 5 * 43
-    for r in retrieve.ranked(chunks, rows, 43).collect():
-        assert every[r["query_id"], r["doc_id"]] == r["score"]
-
-
 def test_retrieval_of_nothing(small):
     _, _, chunks, rows = small
     assert retrieve.ranked(chunks.limit(0), rows, 5).count() == 0 and retrieve.ranked(chunks, rows.limit(0), 5).count() == 0
