@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 1 << 20
 BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
+#: Smaller tables aren't worth spreading.
+LEAST_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -87,10 +89,20 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(size, BATCH_BYTES)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the tables they come from are too small for a scan to use them; larger ones stay as they are scanned."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.repartition(cores) if LEAST_BYTES <= size < cores * split else df
+
+
 def plain(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the named columns under the operator's own names, so extra columns of the input never clash."""
+    """Only the named columns under the operator's own names, so extra columns of the input never clash; spread()."""
     small_batches(df.sparkSession)
-    return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
+    return spread(df).select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
 # -- text as bytes
