@@ -65,7 +65,7 @@ _FEATURES = DIM + 2
 #: Bits of the filter of the vocabulary beyond the held tokens.
 _BLOOM = 1 << 26
 #: Tokens of a task whose contexts are added up before they are passed on.
-_TOGETHER = 120_000
+_TOGETHER = 400_000
 
 
 # -- word vectors
@@ -151,24 +151,30 @@ def unit(sums: np.ndarray) -> np.ndarray:
     return np.round(sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9) * _SCALE).astype(np.int16)
 
 
+def collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _SUMS of a task's texts; a token has several where there are more than _TOGETHER of them."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    rows = 0
+    for batch in batches:
+        for part in contexts(batch.column(0)):
+            held.append(part)
+            rows += len(part[0])
+            if rows > _TOGETHER:
+                held = [_added(*map(np.concatenate, zip(*held, strict=True)))]
+                if (rows := len(held[0][0])) > _TOGETHER * 3 // 4:
+                    # Frequent tokens stay: they will come again.
+                    rare = np.ones(rows, bool)
+                    rare[np.argpartition(held[0][1], -(_TOGETHER // 4))[-(_TOGETHER // 4) :]] = False
+                    yield from _sum_batches(*(x[rare] for x in held[0]))
+                    held = [tuple(x[~rare] for x in held[0])]
+                    rows = len(held[0][0])
+    if held:
+        yield from _sum_batches(*_added(*map(np.concatenate, zip(*held, strict=True))))
+
+
 def word_vectors(docs: DataFrame) -> tuple[DataFrame, int, np.ndarray]:
     """((token, n, u) of the vocabulary, a table; tokens in the corpus; the unit vector of rare ones), over all documents of (text)."""
 
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        rows = 0
-        for batch in batches:
-            for part in contexts(batch.column(0)):
-                held.append(part)
-                rows += len(part[0])
-                if rows > _TOGETHER:
-                    held = [_added(*map(np.concatenate, zip(*held, strict=True)))]
-                    if (rows := len(held[0][0])) > _TOGETHER // 2:
-                        yield from _sum_batches(*held[0])
-                        held, rows = [], 0
-        if held:
-            yield from _sum_batches(*_added(*map(np.concatenate, zip(*held, strict=True))))
-
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
         rare_n, rare = 0, np.zeros(DIM, np.int64)
@@ -201,7 +207,7 @@ def word_vectors(docs: DataFrame) -> tuple[DataFrame, int, np.ndarray]:
         sums = pa.ListArray.from_arrays(pa.array([0, DIM], pa.int32()), pa.array(rare))
         yield pa.RecordBatch.from_arrays([*rows.columns[:3], sums], names=rows.schema.names)
 
-    sums = docs.mapInArrow(collect, _SUMS).repartition("token").sortWithinPartitions("token")
+    sums = docs.mapInArrow(collected, _SUMS).repartition("token").sortWithinPartitions("token")
     words = shared.materialize(sums.mapInArrow(total, "token bigint, n bigint, u array<smallint>, rare array<bigint>"), "words")
     known = words.where("token IS NOT NULL").drop("rare")
     rest = words.where("token IS NULL").agg(F.sum("n").alias("n"), *[F.sum(F.col("rare")[j]).alias(f"u{j}") for j in range(DIM)]).first()

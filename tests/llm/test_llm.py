@@ -440,6 +440,19 @@ def test_probabilities_against_a_plain_loop(spark):
         assert got[i] == pytest.approx(1 / (1 + np.exp(-logit / net.temperature)) if h else 0, abs=1e-6)
 
 
+def test_sums_passed_on_in_parts_are_the_same(monkeypatch):
+    """More tokens than a task adds up at once: run the task's own loop with a small limit."""
+    rng = random.Random(1)
+    texts = pa.array([prose(rng, 200) for _ in range(30)])
+    whole = classifier._added(*map(np.concatenate, zip(*classifier.contexts(texts), strict=True)))
+    monkeypatch.setattr(classifier, "_TOGETHER", 80)
+    batches = (pa.RecordBatch.from_pydict({"text": texts.slice(i, 3)}) for i in range(0, 30, 3))
+    parts = [classifier._sums_of(x) for x in classifier.collected(batches)]
+    assert sum(len(x[0]) for x in parts) > len(whole[0])
+    again = classifier._added(*(np.concatenate(x) for x in zip(*((t.view(np.uint64), n, v) for t, n, v in parts), strict=True)))
+    assert all((a == b).all() for a, b in zip(again, whole, strict=True))
+
+
 @pytest.mark.parametrize("held", [0, 7, 200])
 def test_a_vocabulary_that_is_not_held_whole_gives_the_same(spark, docs, odd, held):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
