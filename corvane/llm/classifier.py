@@ -537,6 +537,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def passing(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, held: int = HELD) -> DataFrame:
     """The rows that the classifier keeps, all columns kept."""
+    docs = shared.spread(docs)
     model = trained(docs, labels, id_col, text_col, held=held)
     if model.held.value.whole:
         words, net, otherwise = model.held, model.net, model.otherwise

@@ -206,6 +206,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     With a benchmark that every worker holds this is a filter, row by row.  A larger one
     gives a list of ids with their texts' hashes, and rows are kept by a null-safe join on both.
     """
+    docs = shared.spread(docs)
     items = shared.plain(benchmark, item_id=item_col, item_text=item_text_col).where("item_text IS NOT NULL")
     bench = _held(items, broadcast_bytes)
     if bench is None:

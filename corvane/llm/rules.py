@@ -194,5 +194,5 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 def passing(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", known: DataFrame | None = None, held: int = HELD) -> DataFrame:
     """The rows that the rules keep, all columns kept."""
-    rows = _with_judgement(docs, known, text_col, lang_col, held)
+    rows = _with_judgement(shared.spread(docs), known, text_col, lang_col, held)
     return rows.where(rows["_judgement"]["keep"]).drop("_judgement")

@@ -96,7 +96,9 @@ def spread(df: DataFrame) -> DataFrame:
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    return df.repartition(cores) if LEAST_BYTES <= size < cores * split else df
+    if not LEAST_BYTES <= size < cores * split or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def plain(df: DataFrame, **columns: str) -> DataFrame:
