@@ -47,6 +47,8 @@ ERRORS = 1
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
 #: The most signatures of a key that one task compares.
 HOT = 4096
+#: The most removed rows whose list deduplicate() sends to every task (100 bytes each); a longer list is joined by a shuffle.
+SENT_ROWS = 1_000_000
 
 _WIDTH = HASHES // CHUNKS
 _STRUCK = list(combinations(range(_WIDTH), ERRORS))
@@ -376,7 +378,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.groupBy("doc_id").agg(F.min("duplicate_of").alias("duplicate_of")).where("doc_id <> duplicate_of")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sent_rows: int = SENT_ROWS) -> DataFrame:
     """One row of each group of near duplicates, and all rows without a signature; all columns kept.
 
     Groups are those of near_duplicates(), but of rows: repeated rows are copies of each
@@ -394,11 +396,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     first = members.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_hash")).alias("first"))
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
     found = members.join(first, "root").withColumn("_again", is_first).where("n > 1 OR NOT _again")
-    # Written out, the list has a known size, and the planner sends it to every task if that is small enough.
     gone = shared.materialize(found.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_text"), "_again"), "copies")
 
+    send = F.broadcast if gone.count() <= sent_rows else lambda x: x
+
     def among(those: DataFrame, how: str) -> DataFrame:
-        return docs.join(those, docs[f"`{id_col}`"].eqNullSafe(those["_gone"]) & (F.xxhash64(docs[f"`{text_col}`"]) == those["_gone_text"]), how)
+        return docs.join(send(those), docs[f"`{id_col}`"].eqNullSafe(those["_gone"]) & (F.xxhash64(docs[f"`{text_col}`"]) == those["_gone_text"]), how)
 
     left = among(gone, "left_anti")
     again = gone.where(gone["_again"])

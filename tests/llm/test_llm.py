@@ -295,8 +295,9 @@ def test_deduplication_goes_by_row(spark):
     a, b = prose(random.Random(5), 60), prose(random.Random(6), 60)
     c, d = prose(random.Random(7), 60), prose(random.Random(8), 60)
     rows = [(1, a, "en"), (1, a, "en"), (1, a, "en"), (None, b, "en"), (None, b, "en"), (7, c, "en"), (7, a, "en"), (None, c, "en"), (8, d, "en"), (None, None, "en"), (None, None, "en")]
-    got = neardup.deduplicate(table(spark, rows)).collect()
-    assert Counter((r["doc_id"], r["text"]) for r in got) == {(1, a): 1, (None, b): 1, (7, c): 1, (8, d): 1, (None, None): 2}
+    for sent in (neardup.SENT_ROWS, 0):
+        got = neardup.deduplicate(table(spark, rows), sent_rows=sent).collect()
+        assert Counter((r["doc_id"], r["text"]) for r in got) == {(1, a): 1, (None, b): 1, (7, c): 1, (8, d): 1, (None, None): 2}
 
 
 # -- 3: decontamination
