@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import periods as P
 from corvane.functions import text as T
+from corvane.functions.durable import materialize
 
 EPSILON = 2.220446049250313e-16
 PERIOD_NAMES = "period date time month quarter year week".split()
@@ -288,24 +289,21 @@ def verdict(issue_rows: DataFrame, driver_rows: DataFrame, answer: str) -> DataF
 
 def audited(facts: DataFrame, request: Request) -> dict:
     """The whole report as a dictionary; only its own few rows leave the cluster."""
-    found = drivers(facts, request.group_by, request.metric, request.period_col, request.baseline, request.current, request.granularity).persist()
-    try:
-        total = found.agg(F.sum("delta").alias("t"), F.count("*").alias("n")).first()
-        if not total["n"]:
-            raise AuditError(f"no rows of {request.baseline!r} or {request.current!r}")
-        skipped = skipped_rows(facts, request.period_col, request.granularity)
-        issue_rows = issues(request, found, skipped).persist()
-        named = mentions(segments(found), request.answer, request.weak_threshold).orderBy(F.desc(F.abs("contribution_pct")), "segment")
-        result = verdict(issue_rows, found, request.answer).first().asDict()
-        tops = found.orderBy(F.desc(F.abs("delta")), F.array_join("key_values", "\x1f")).limit(5).collect()
-        report = {
-            "verdict": result["verdict"], "question": request.question, "answer": request.answer, "baseline_period": request.baseline, "current_period": request.current, "total_delta": total["t"],
-            "top_drivers": [{"label": " | ".join(r["key_values"]), **{k: r[k] for k in ("baseline", "current", "delta", "contribution_pct")}} for r in tops],
-            "mentions": [{k: r[k] for k in ("segment", "claimed_direction", "actual_direction", "delta", "contribution_pct")} for r in named.collect()],
-            "issues": [{"code": r["code"], "message": r["message"]} for r in issue_rows.orderBy("ord").collect()],
-            "coverage_pct": result["coverage_pct"], "alignment_score": result["alignment_score"], "confidence": result["confidence"],
-        }
-        issue_rows.unpersist()
-        return report
-    finally:
-        found.unpersist()
+    found = drivers(facts, request.group_by, request.metric, request.period_col, request.baseline, request.current, request.granularity)
+    found = materialize(found, "drivers")
+    total = found.agg(F.sum("delta").alias("t"), F.count("*").alias("n")).first()
+    if not total["n"]:
+        raise AuditError(f"no rows of {request.baseline!r} or {request.current!r}")
+    skipped = skipped_rows(facts, request.period_col, request.granularity)
+    issue_rows = materialize(issues(request, found, skipped), "issues")
+    named = mentions(segments(found), request.answer, request.weak_threshold).orderBy(F.desc(F.abs("contribution_pct")), "segment")
+    result = verdict(issue_rows, found, request.answer).first().asDict()
+    tops = found.orderBy(F.desc(F.abs("delta")), F.array_join("key_values", "\x1f")).limit(5).collect()
+    report = {
+        "verdict": result["verdict"], "question": request.question, "answer": request.answer, "baseline_period": request.baseline, "current_period": request.current, "total_delta": total["t"],
+        "top_drivers": [{"label": " | ".join(r["key_values"]), **{k: r[k] for k in ("baseline", "current", "delta", "contribution_pct")}} for r in tops],
+        "mentions": [{k: r[k] for k in ("segment", "claimed_direction", "actual_direction", "delta", "contribution_pct")} for r in named.collect()],
+        "issues": [{"code": r["code"], "message": r["message"]} for r in issue_rows.orderBy("ord").collect()],
+        "coverage_pct": result["coverage_pct"], "alignment_score": result["alignment_score"], "confidence": result["confidence"],
+    }
+    return report

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.functions.durable import materialize
 
 LOW_OVERLAP = 0.10
 CLAIM_OVERLAP = 0.20
@@ -131,12 +132,9 @@ def totals(cases: DataFrame) -> DataFrame:
 
 
 def report(rules: DataFrame, runs: DataFrame, run_input: str, rules_input: str) -> dict:
-    cases = evaluated(rules, runs).persist()
-    try:
-        total = totals(cases).first().asDict()
-        listed = [r.asDict(recursive=True) for r in cases.orderBy("rule_ord").drop("rule_ord").collect()]
-    finally:
-        cases.unpersist()
+    cases = materialize(evaluated(rules, runs), "cases")
+    total = totals(cases).first().asDict()
+    listed = [r.asDict(recursive=True) for r in cases.orderBy("rule_ord").drop("rule_ord").collect()]
     left = [r["run_id"] for r in unmatched(rules, runs).orderBy("run_ord").collect()]
     return {"run_input": run_input, "rules_input": rules_input, **total, "cases": listed, "unmatched_runs": left}
 

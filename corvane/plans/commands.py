@@ -13,6 +13,7 @@ from corvane import __version__
 from corvane.config import Config
 from corvane.functions import chunking, embed
 from corvane.functions import text as T
+from corvane.functions.durable import materialize
 from corvane.operators import audit, compare, diagnose, evaluate, fix, optimize, retrieve, rundiff
 from corvane.sources import artifacts, documents, facts, queries, traces
 
@@ -27,15 +28,11 @@ class GateFailure(Exception):
 
 @dataclass
 class Corpus:
-    """Documents and numbered chunks, kept while a command runs."""
+    """Documents and numbered chunks, both written to the shared folder."""
 
     documents: DataFrame
     chunks: DataFrame
 
-    def close(self) -> None:
-        self.chunks.unpersist()
-        self.documents.unpersist()
-
 
 @dataclass
 class Simulation:
@@ -48,9 +45,9 @@ def meta(command: str) -> dict:
 
 
 def prepare(spark: SparkSession, root: str, config: Config) -> Corpus:
-    docs = documents.read_documents(spark, root).withColumn("text", T.normalized(F.col("text"))).persist()
-    chunks = chunking.numbered(chunking.chunks(docs, config.chunk_size, config.chunk_overlap)).persist()
-    return Corpus(docs, chunks)
+    docs = materialize(documents.read_documents(spark, root).withColumn("text", T.normalized(F.col("text"))), "documents")
+    chunks = chunking.numbered(chunking.chunks(docs, config.chunk_size, config.chunk_overlap))
+    return Corpus(docs, materialize(chunks, "numbered"))
 
 
 def with_vectors(rows: DataFrame, config: Config, text_col: str, cache: bool) -> DataFrame:
@@ -67,7 +64,7 @@ def simulate_on(corpus: Corpus, query_rows: DataFrame, config: Config) -> Simula
     asked = with_vectors(query_rows, config, "query", False)
     found = retrieve.ranked(chunks, asked, config.top_k)
     named = corpus.chunks.select("doc_ord", "pos", "chunk_id")
-    return Simulation(query_rows, named.join(found, ["doc_ord", "pos"]).persist())
+    return Simulation(query_rows, materialize(named.join(found, ["doc_ord", "pos"]), "ranked"))
 
 
 def rows_of(df: DataFrame) -> list[dict]:
@@ -119,7 +116,6 @@ def readiness(spark: SparkSession, root: str, query_file: str | None, config: Co
         parts += [diagnose.retrieval_findings(sim.ranked, sim.queries, config), diagnose.cause_findings(sim.ranked, sim.queries, corpus.chunks, corpus.documents, config)]
         report |= {"sim_summary": summary_of(sim, config), "coverage": diagnose.coverage(sim.ranked, sim.queries, config).first().asDict(), "dominant_rate": diagnose.max_dominant_rate(sim.ranked, sim.queries).first()["rate"]}
     report["findings"] = [f for part in parts for f in finding_rows(part)]
-    corpus.close()
     return report
 
 
@@ -134,14 +130,12 @@ def simulate(spark: SparkSession, root: str, query_file: str | None, config: Con
         "meta": meta("simulate"), **counts_of(corpus), "passes": sum(o["status"] == "PASS" for o in outcomes), "fails": sum(o["status"] == "FAIL" for o in outcomes), "findings": findings, "retrievals": results_of(sim),
         "expectations": [{k: o[k] for k in keep} | {"expected": o["expect_docs"]} for o in outcomes], "sim_summary": summary_of(sim, config), "config": config.snapshot(), "dominant_rate": diagnose.max_dominant_rate(sim.ranked, sim.queries).first()["rate"],
     }
-    corpus.close()
     return report
 
 
 def chunk_report(spark: SparkSession, root: str, config: Config) -> dict:
     corpus = prepare(spark, root, config)
     report = {"meta": meta("chunks"), **counts_of(corpus), "findings": finding_rows(diagnose.chunk_findings(corpus.chunks, config)), "chunk_stats": diagnose.chunk_stats(corpus.chunks, corpus.documents, config).first().asDict(), "config": config.snapshot()}
-    corpus.close()
     return report
 
 
@@ -154,7 +148,6 @@ def coverage_report(spark: SparkSession, root: str, query_file: str | None, conf
         report |= {"findings": finding_rows(diagnose.retrieval_findings(sim.ranked, sim.queries, config)), "coverage": diagnose.coverage(sim.ranked, sim.queries, config).first().asDict()}
     else:
         report["findings"] = finding_rows(diagnose.topic_findings(corpus.chunks))
-    corpus.close()
     return report
 
 
@@ -165,19 +158,17 @@ def explain(spark: SparkSession, root: str, query: str, config: Config, most: in
     parts = ("similarity", "keyword_overlap", "keyword_overlap_norm", "keyword_boost", "phrase_match", "phrase_boost", "token_count", "metadata_boost", "length_penalty")
     rows = sim.ranked.orderBy("rank").collect()[:most]
     hits = [{"rank": r["rank"], "chunk_id": r["chunk_id"], "doc_id": r["doc_id"], "score": r["score"], "explanation": {"chunk_id": r["chunk_id"], **{p: r[p] for p in parts}, "total_score": r["score"]}} for r in rows]
-    corpus.close()
     return {"meta": meta(command), "query": query, "ranked": hits}
 
 
 def optimize_report(spark: SparkSession, root: str, query_file: str, sizes, overlaps, top_n: int, config: Config) -> dict:
     if top_n <= 0:
         raise ValueError("top_n must be above 0")
-    docs = documents.read_documents(spark, root).withColumn("text", T.normalized(F.col("text"))).persist()
+    docs = materialize(documents.read_documents(spark, root).withColumn("text", T.normalized(F.col("text"))), "documents")
     _, skipped = optimize.grid_of(sizes, overlaps)
     asked = with_vectors(queries.read_queries(spark, query_file), config, "query", False)
     found = optimize.candidates(docs, asked, config, sizes, overlaps, lambda chunks: with_vectors(chunks, config, "text", True))
     rows = rows_of(found.orderBy("place").drop("place"))
-    docs.unpersist()
     return {"meta": meta("optimize"), "queries_file": query_file, "considered": len(rows), "skipped": skipped, "top_n": top_n, "candidates": rows, "best": rows[0] if rows else None}
 
 
@@ -190,7 +181,6 @@ def fix_report(spark: SparkSession, root: str, query_file: str, config: Config)
     top = compare.dominant(diagnose.top1_frequency(sim.ranked), max(summary["queries"], 1)).first()
     dominant = (top["doc_id"], top["rate"]) if top["doc_id"] is not None else None
     report = fix.advice(config, stats, summary, failures, dominant)
-    corpus.close()
     return {
         "meta": meta("fix"), **report, "rerun": f"corvane simulate {root} --queries {query_file}", "avg_top1_similarity": summary["avg_top1_similarity"], "low_similarity_queries": summary["low_similarity_queries"],
         "no_match_queries": summary["no_match_queries"], "expectation_failures": failures, "dominant_doc": dominant[0] if dominant else None, "dominant_rate": dominant[1] if dominant else 0.0,
@@ -204,7 +194,6 @@ def self_test(spark: SparkSession, root: str, query_file: str, config: Config) -
     failed = diagnose.expectation_outcomes(sim.ranked, sim.queries, config).where("status = 'FAIL'").count()
     checks = [{"name": name, "pass": number[key] > 0, "detail": f"{key}={number[key]}"} for name, key in (("documents_loaded", "documents"), ("chunks_produced", "chunks"), ("queries_loaded", "queries"))]
     checks.append({"name": "expectations", "pass": failed == 0, "detail": f"failed_expectations={failed}"})
-    corpus.close()
     return {"meta": meta("self-test"), "ok": all(c["pass"] for c in checks), **number, "checks": checks}
 
 
