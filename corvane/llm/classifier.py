@@ -65,7 +65,7 @@ _FEATURES = DIM + 2
 #: Bits of the filter of the vocabulary beyond the held tokens.
 _BLOOM = 1 << 26
 #: Tokens of a task whose contexts are added up before they are passed on.
-_TOGETHER = 400_000
+_TOGETHER = 250_000
 
 
 # -- word vectors
@@ -119,13 +119,13 @@ def contexts(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
 _SUMS = "token bigint, n bigint, v binary"
 
 
-def _sum_batches(tokens: np.ndarray, counts: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of _SUMS; most contexts fit in a byte for each place, the others take eight.
+def _sum_batches(tokens: np.ndarray, counts: np.ndarray, sums: np.ndarray, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The wanted rows as _SUMS; most contexts fit in a byte for each place, the others take eight.
 
     A task passes its sums on long before one of them fills 32 bits.
     """
-    narrow = np.abs(sums).max(1, initial=0) < 128
-    for rows, kind in ((np.flatnonzero(narrow), np.int8), (np.flatnonzero(~narrow), np.int64)):
+    narrow = (sums.max(1, initial=0) < 128)[wanted] & (sums.min(1, initial=0) > -128)[wanted]
+    for rows, kind in ((wanted[narrow], np.int8), (wanted[~narrow], np.int64)):
         for at in range(0, len(rows), 8192):
             part = rows[at : at + 8192]
             data = np.ascontiguousarray(sums[part].astype(kind))
@@ -151,6 +151,17 @@ def unit(sums: np.ndarray) -> np.ndarray:
     return np.round(sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9) * _SCALE).astype(np.int16)
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One row for each token of parts that have each of theirs once; takes the room of the result beside the parts."""
+    tokens = np.unique(np.concatenate([x for x, _, _ in parts]))
+    counts, sums = np.zeros(len(tokens), np.int64), np.zeros((len(tokens), DIM), np.int32)
+    for own, n, v in parts:
+        at = np.searchsorted(tokens, own)
+        counts[at] += n
+        sums[at] += v
+    return tokens, counts, sums
+
+
 def collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of _SUMS of a task's texts; a token has several where there are more than _TOGETHER of them."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -160,16 +171,18 @@ def collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append(part)
             rows += len(part[0])
             if rows > _TOGETHER:
-                held = [_added(*map(np.concatenate, zip(*held, strict=True)))]
+                held = [_merged(held)]
                 if (rows := len(held[0][0])) > _TOGETHER * 3 // 4:
                     # Frequent tokens stay: they will come again.
                     rare = np.ones(rows, bool)
                     rare[np.argpartition(held[0][1], -(_TOGETHER // 4))[-(_TOGETHER // 4) :]] = False
-                    yield from _sum_batches(*(x[rare] for x in held[0]))
-                    held = [tuple(x[~rare] for x in held[0])]
-                    rows = len(held[0][0])
+                    frequent = tuple(x[~rare] for x in held[0])
+                    yield from _sum_batches(*held.pop(), np.flatnonzero(rare))
+                    held, rows = [frequent], len(frequent[0])
     if held:
-        yield from _sum_batches(*_added(*map(np.concatenate, zip(*held, strict=True))))
+        merged = _merged(held)
+        held.clear()
+        yield from _sum_batches(*merged, np.arange(len(merged[0])))
 
 
 def word_vectors(docs: DataFrame) -> tuple[DataFrame, int, np.ndarray]:
