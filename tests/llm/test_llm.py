@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import zstandard
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -372,6 +372,31 @@ def test_decontamination_goes_by_row_either_way(spark):
         assert Counter((r["doc_id"], r["text"]) for r in got) == {(None, "clean here"): 1, (4, "clean too"): 2, (6, None): 1, (None, None): 1}
 
 
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from([None, 1, 2, 3]), st.integers(0, 5)), min_size=1, max_size=25))
+def test_filters_of_repeated_and_null_ids_against_brute_force(spark, picked):
+    """Decontamination and deduplication go by row, in every branch."""
+    rng = random.Random(21)
+    base = prose(rng, 60)
+    texts = [base, base + " more", prose(rng, 60), "word " * 30, None, ""]
+    rows = [(i, texts[k], "en") for i, k in picked]
+    frame = table(spark, rows)
+    bench = spark.createDataFrame([(1, "word " * 20)], "item_id bigint, text string")
+    clean = Counter((i, t) for i, t, _ in rows if t != texts[3])
+    for limit in (0, decontam.BROADCAST_BYTES):
+        assert Counter((r["doc_id"], r["text"]) for r in decontam.decontaminate(frame, bench, broadcast_bytes=limit).collect()) == clean
+    groups = {t: k for k, group in enumerate(([texts[0], texts[1]], [texts[2]], [texts[3]])) for t in group}
+    ids = {}
+    for i, t, _ in rows:
+        if t in groups:
+            ids.setdefault(groups[t], []).append((i is None, i or 0))
+    for sent in (0, neardup.SENT_ROWS):
+        got = neardup.deduplicate(frame, sent_rows=sent).collect()
+        kept = [(groups[r["text"]], (r["doc_id"] is None, r["doc_id"] or 0)) for r in got if r["text"] in groups]
+        assert sorted(kept) == sorted((g, min(x)) for g, x in ids.items())
+        assert Counter(r["text"] for r in got if r["text"] not in groups) == Counter(t for _, t, _ in rows if t not in groups)
+
+
 # -- 4: classifier
 
 
