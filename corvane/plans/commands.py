@@ -233,7 +233,7 @@ def save_run(out: str, question: str, answer: str, docs_file: str | None = None,
 
 def import_trace(source: str, out: str, **pointers) -> dict:
     try:
-        root = json.loads(Path(source).read_text(encoding="utf-8"))
+        root = json.loads(documents.read_text(source))
     except (OSError, ValueError) as error:
         raise documents.SourceError(f"can't read the trace {source}: {error}") from error
     return _write_run(traces.import_trace(root, **pointers), out)
@@ -260,7 +260,7 @@ def compare_reports(spark: SparkSession, before: str, after: str) -> dict:
 
 def import_pages(spark: SparkSession, url_file: str, out: str, timeout: float = 20, fetch=None) -> int:
     """Save the pages of a list of URLs as text documents, each written by its task; returns how many were kept."""
-    urls = documents.url_list(Path(url_file).read_text(encoding="utf-8"))
+    urls = documents.url_list(documents.read_text(url_file))
     rows = documents.page_documents(documents.fetch_pages(spark, urls, timeout, fetch))
     Path(out).mkdir(parents=True, exist_ok=True)
     folder = str(Path(out).resolve())

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.schemas import ARTIFACT, RULE
-from corvane.sources.documents import SourceError, load_yaml
+from corvane.sources.documents import SourceError, load_yaml, read_text
 
 
 def problem(run: dict) -> str | None:
@@ -45,7 +45,7 @@ def complete(run: dict) -> dict:
 def load_artifact(path: str) -> dict:
     """One artifact, validated."""
     try:
-        run = json.loads(Path(path).read_text(encoding="utf-8"))
+        run = json.loads(read_text(path))
     except (OSError, ValueError) as error:
         raise SourceError(f"can't read the run {path}: {error}") from error
     wrong = problem(run) if isinstance(run, dict) else "it must be an object"
@@ -102,7 +102,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 def load_artifact_loosely(path: Path) -> dict:
     """One artifact whose document ids may repeat."""
     try:
-        run = json.loads(path.read_text(encoding="utf-8"))
+        run = json.loads(read_text(str(path)))
     except (OSError, ValueError) as error:
         raise SourceError(f"can't read the run {path}: {error}") from error
     wrong = problem(run) if isinstance(run, dict) else "it must be an object"
@@ -113,7 +113,7 @@ def load_artifact_loosely(path: Path) -> dict:
 
 def load_docs(path: str) -> list[dict]:
     """Retrieved documents: a list, or an object that has them."""
-    found = json.loads(Path(path).read_text(encoding="utf-8"))
+    found = json.loads(read_text(path))
     docs = found if isinstance(found, list) else found.get("retrieved_docs") if isinstance(found, dict) else None
     if not isinstance(docs, list):
         raise SourceError(f"{path} must be a list of documents, or have a list 'retrieved_docs'")
@@ -123,7 +123,7 @@ def load_docs(path: str) -> list[dict]:
 def load_rules(path: str) -> list[dict]:
     """Rules: a list, or an object with a list `cases`; at least one."""
     try:
-        found = load_yaml(Path(path).read_text(encoding="utf-8"))
+        found = load_yaml(read_text(path))
     except (OSError, yaml.YAMLError) as error:
         raise SourceError(f"can't read the rules {path}: {error}") from error
     cases = found.get("cases") if isinstance(found, dict) else found
@@ -144,7 +144,7 @@ def rule_table(spark: SparkSession, cases: list[dict]) -> DataFrame:
 
 def load_report(path: str) -> dict:
     try:
-        found = json.loads(Path(path).read_text(encoding="utf-8"))
+        found = json.loads(read_text(path))
     except (OSError, ValueError) as error:
         raise SourceError(f"can't read the report {path}: {error}") from error
     if not isinstance(found, dict):

@@ -8,6 +8,7 @@ from pathlib import Path
 
 import pyarrow as pa
 import yaml
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,15 @@ class SourceError(ValueError):
     """Input that can't be read."""
 
 
+def read_text(path: str) -> str:
+    """A whole file as UTF-8 text, from the local disk or, by URI, from any store that the cluster reads."""
+    if "://" not in str(path):
+        return Path(path).read_text(encoding="utf-8")
+    system, place = fs.FileSystem.from_uri(str(path))
+    with system.open_input_stream(place) as file:
+        return file.read().decode("utf-8")
+
+
 class _Plain(yaml.SafeLoader):
     """YAML in which only true, false, whole numbers and null are more than text."""
 

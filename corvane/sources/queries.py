@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pathlib import Path
+from pathlib import PurePosixPath
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.schemas import QUERY
-from corvane.sources.documents import SourceError, load_yaml
+from corvane.sources.documents import SourceError, load_yaml, read_text
 
 SYNTHETIC = 16
 
@@ -57,12 +57,11 @@ def parse_queries(text: str, extension: str = "") -> list[tuple[str, str, list[s
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
     """(query_id, query, expect_docs, query_ord) of a query file."""
-    file = Path(path)
     try:
-        text = file.read_text(encoding="utf-8")
+        text = read_text(path)
     except (OSError, UnicodeDecodeError) as error:
         raise SourceError(f"can't read the queries {path}: {error}") from error
-    rows = [(i, q, e, n) for n, (i, q, e) in enumerate(parse_queries(text, file.suffix[1:]))]
+    rows = [(i, q, e, n) for n, (i, q, e) in enumerate(parse_queries(text, PurePosixPath(path).suffix[1:]))]
     return spark.createDataFrame(rows, QUERY)
 
 

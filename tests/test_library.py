@@ -99,6 +99,16 @@ def test_query_files():
             queries.parse_queries(text, extension)
 
 
+def test_single_files_by_path_or_uri(spark, tmp_path):
+    (tmp_path / "q.tsv").write_text("a\tb c\td\n", encoding="utf-8")
+    (tmp_path / "r.json").write_text('{"total_cases": 1}', encoding="utf-8")
+    for root in (str(tmp_path), tmp_path.as_uri()):
+        assert [tuple(r)[:2] for r in queries.read_queries(spark, f"{root}/q.tsv").collect()] == [("a", "b c")]
+        assert artifacts.load_report(f"{root}/r.json") == {"total_cases": 1}
+        with pytest.raises(documents.SourceError):
+            queries.read_queries(spark, f"{root}/none")
+
+
 def test_synthetic_queries(spark):
     rows = spark.createDataFrame([(f"d{i:02}", None if i % 2 else f"title {i}", i) for i in range(20)], "doc_id string, title string, doc_ord bigint")
     found = queries.synthetic_queries(rows).orderBy("query_ord").collect()
