@@ -220,8 +220,8 @@ def word_vectors(docs: DataFrame) -> tuple[DataFrame, int, np.ndarray]:
         sums = pa.ListArray.from_arrays(pa.array([0, DIM], pa.int32()), pa.array(rare))
         yield pa.RecordBatch.from_arrays([*rows.columns[:3], sums], names=rows.schema.names)
 
-    sums = docs.mapInArrow(collected, _SUMS).repartition("token").sortWithinPartitions("token")
-    words = shared.materialize(sums.mapInArrow(total, "token bigint, n bigint, u array<smallint>, rare array<bigint>"), "words")
+    sums = docs.mapInArrow(shared.lean(collected), _SUMS).repartition("token").sortWithinPartitions("token")
+    words = shared.materialize(sums.mapInArrow(shared.lean(total), "token bigint, n bigint, u array<smallint>, rare array<bigint>"), "words")
     known = words.where("token IS NOT NULL").drop("rare")
     rest = words.where("token IS NULL").agg(F.sum("n").alias("n"), *[F.sum(F.col("rare")[j]).alias(f"u{j}") for j in range(DIM)]).first()
     n = (known.agg(F.sum("n")).first()[0] or 0) + (rest["n"] or 0)
@@ -258,7 +258,7 @@ def bloom_of(words: DataFrame) -> np.ndarray:
             part = used[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(packed[part])], names=["place", "bits"])
 
-    found = words.select("token").mapInArrow(fill, "place bigint, bits bigint").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = words.select("token").mapInArrow(shared.lean(fill), "place bigint, bits bigint").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(_BLOOM // 64, np.int64)
     out[np.asarray(found.column("place").combine_chunks())] = np.asarray(found.column("bits").combine_chunks())
     return out.view(np.uint8)
@@ -431,7 +431,7 @@ def vocabulary(docs: DataFrame, held: int = HELD) -> Model:
             sums = (weighted(n, u, total).astype(np.int64) * n[:, None]).sum(0)
             yield pa.RecordBatch.from_arrays([pa.array([int(n.sum())]), *[pa.array([int(x)]) for x in sums]], names=["n", *[f"s{j}" for j in range(_WIDTH)]])
 
-    sums = words.select("n", "u").mapInArrow(add, "n bigint, " + ", ".join(f"s{j} bigint" for j in range(_WIDTH)))
+    sums = words.select("n", "u").mapInArrow(shared.lean(add), "n bigint, " + ", ".join(f"s{j} bigint" for j in range(_WIDTH)))
     row = sums.agg(*[F.sum(c).alias(c) for c in sums.columns]).first()
     rest = total - (row["n"] or 0)
     mean = np.array([float(row[f"s{j}"] or 0) for j in range(_WIDTH)]) + weighted(np.zeros(1), rare[None, :], total, True)[0].astype(float) * rest
@@ -461,8 +461,8 @@ def summed(rows: DataFrame, model: Model, whole: bool) -> DataFrame:
 
     schema = ", ".join([*kinds, "some boolean", "sums array<bigint>"])
     if whole:
-        return rows.mapInArrow(pool, schema)
-    first = shared.materialize(rows.mapInArrow(pool, f"{schema}, tokens array<bigint>, times array<bigint>").withColumn("_row", F.monotonically_increasing_id()), "pooled")
+        return rows.mapInArrow(shared.lean(pool), schema)
+    first = shared.materialize(rows.mapInArrow(shared.lean(pool), f"{schema}, tokens array<bigint>, times array<bigint>").withColumn("_row", F.monotonically_increasing_id()), "pooled")
     low = weighted(np.zeros(1), rare[None, :], total, True)[0].astype(np.int32)
 
     def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -491,10 +491,10 @@ def summed(rows: DataFrame, model: Model, whole: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([last]), lists(held_sum[None, :])], names=["_row", "change"])
 
     # Tokens that aren't held are rare enough for none of them to make a hot key.
-    table = model.words.mapInArrow(change, "token bigint, change binary")
+    table = model.words.mapInArrow(shared.lean(change), "token bigint, change binary")
     pairs = first.select("_row", F.explode(F.arrays_zip("tokens", "times")).alias("t")).select("_row", "t.tokens", "t.times")
     changes = pairs.join(table, F.col("tokens") == F.col("token")).select("_row", "times", "change")
-    changes = changes.repartition("_row").sortWithinPartitions("_row").mapInArrow(add, "_row bigint, change array<bigint>")
+    changes = changes.repartition("_row").sortWithinPartitions("_row").mapInArrow(shared.lean(add), "_row bigint, change array<bigint>")
     out = first.join(changes, "_row", "left")
     both = F.when(F.col("change").isNull(), F.col("sums")).otherwise(F.zip_with("sums", "change", lambda a, b: a + b))
     return out.select(*[F.col(f"`{x}`") for x in names], "some", both.alias("sums"))
@@ -559,7 +559,10 @@ def passing(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         def keep(text: pa.Array) -> pa.Array:
             sums, some, _ = pooled(text, words.value)
             p = net.probability(features(sums, words.value.mean)) if net is not None else np.full(len(sums), otherwise)
-            return pa.array(np.where(some, p, 0.0) >= threshold)
+            kept = pa.array(np.where(some, p, 0.0) >= threshold)
+            del sums, some
+            shared.release()
+            return kept
 
         return docs.where(keep(F.col(f"`{text_col}`")))
 

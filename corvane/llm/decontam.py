@@ -146,7 +146,7 @@ def shared_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             for ids, found in _rows(batch.column(0), batch.column(1), known):
                 yield _batch(ids, known.ids.take(pa.array([x[1] for x in found])), found)
 
-    return docs.mapInArrow(scan, schema)
+    return docs.mapInArrow(shared.lean(scan), schema)
 
 
 def _held(items: DataFrame, broadcast_bytes: int) -> Broadcast | None:
@@ -175,7 +175,7 @@ def _joined(docs: DataFrame, items: DataFrame, schema: str) -> DataFrame:
                     row = pa.array(pairs[:, 1])
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), batch.column(0).take(row), batch.column(1).take(row)], names=["hash", name, f"{name}_text"])
 
-        return keyed.mapInArrow(make, f"hash bigint, {name} {kind}, {name}_text bigint")
+        return keyed.mapInArrow(shared.lean(make), f"hash bigint, {name} {kind}, {name}_text bigint")
 
     pairs = fingerprints(docs, "d").join(fingerprints(items, "i"), "hash").select("d", "d_text", "i", "i_text").distinct()
     left = docs.select("doc_id", F.xxhash64("text").alias("d_text2"), "text")
@@ -197,7 +197,7 @@ def _joined(docs: DataFrame, items: DataFrame, schema: str) -> DataFrame:
                 rows = pa.array([x[0] for x in found])
                 yield _batch(batch.column(0).take(rows), batch.column(2).take(rows), found)
 
-    return whole.select("doc_id", "text", "item_id", "item_text").mapInArrow(extend, schema)
+    return whole.select("doc_id", "text", "item_id", "item_text").mapInArrow(shared.lean(extend), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

@@ -85,7 +85,7 @@ def _signed(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[x.filter(keep) for x in batch.columns[:-1]], raw], names=[*batch.schema.names[:-1], "sig"])
 
     kinds = [f"{x.name} {x.dataType.simpleString()}" for x in rows.schema.fields[:-1]]
-    return rows.mapInArrow(make, ", ".join([*kinds, "sig binary"]))
+    return rows.mapInArrow(shared.lean(make), ", ".join([*kinds, "sig binary"]))
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,7 +130,7 @@ def _listed(rows: DataFrame) -> DataFrame:
                 again = pa.array(np.repeat(np.arange(part.num_rows), keys.shape[1]))
                 yield pa.RecordBatch.from_pydict({"key": pa.array(keys.reshape(-1).view(np.int64)), "node": part.column("node").take(again)})
 
-    return rows.select("node", "sig").mapInArrow(make, f"key bigint, node {kind}")
+    return rows.select("node", "sig").mapInArrow(shared.lean(make), f"key bigint, node {kind}")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def _by_key(rows: DataFrame, handle, schema: str) -> DataFrame:
         if held:
             yield from handle(pa.concat_tables(held))
 
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(make, schema)
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(shared.lean(make), schema)
 
 
 def _groups(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray] | None:
@@ -237,7 +237,7 @@ def _to_lead(hot: DataFrame, distance: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("node").filter(close), batch.column("lead").filter(close)], names=["a", "b"])
 
     rows = hot.where("node <> lead").join(leads, F.col("key") == F.col("k")).select("node", "lead", "sig", "lead_sig")
-    return rows.mapInArrow(near, f"a {kind}, b {kind}")
+    return rows.mapInArrow(shared.lean(near), f"a {kind}, b {kind}")
 
 
 def _in_blocks(hot: DataFrame, most: int) -> DataFrame:
@@ -312,7 +312,7 @@ def _contract(edges: DataFrame) -> DataFrame:
         values = codes.dictionary.take(order)
         yield pa.RecordBatch.from_arrays([values.take(pa.array(child)), values.take(pa.array(parent[child]))], schema=pa.schema([("a", values.type), ("b", values.type)]))
 
-    return edges.mapInArrow(make, schema)
+    return edges.mapInArrow(shared.lean(make), schema)
 
 
 def least(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:

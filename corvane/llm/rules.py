@@ -96,7 +96,7 @@ def class_totals(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([langs.dictionary, *map(pa.array, sums)], names=["lang", *names])
 
     schema = "lang string, " + ", ".join(f"{x} bigint" for x in names)
-    return docs.select("lang", "text").mapInArrow(count, schema).groupBy("lang").agg(*[F.sum(x).alias(x) for x in names])
+    return docs.select("lang", "text").mapInArrow(shared.lean(count), schema).groupBy("lang").agg(*[F.sum(x).alias(x) for x in names])
 
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
