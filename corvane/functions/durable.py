@@ -15,9 +15,25 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows and bytes of an Arrow batch of texts: a worker holds several copies of a batch at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep the session's Arrow batches within those limits; stricter settings stay."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        found = spark.conf.get(name).lower().removesuffix("b")
+        if found.lstrip("-").isdigit() and not 0 < int(found) <= most:
+            spark.conf.set(name, most)
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows over all cores where the tables they come from are too small for a scan to use them; larger ones stay as they are scanned."""
+    """Rows over all cores where the tables they come from are too small for a scan to use them; larger ones stay as they are scanned.
+
+    They go to workers in small batches.
+    """
     spark = rows.sparkSession
+    small_batches(spark)
     cores = spark.sparkContext.defaultParallelism
     leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
     size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))

@@ -26,7 +26,7 @@ BATCH_TOKENS = 2000
 REMOTE_DIM = 1536
 
 
-@lru_cache(maxsize=1 << 20)
+@lru_cache(maxsize=1 << 16)  # frequent words; more would hold what a corpus has of rare ones
 def place_of(word: str) -> int:
     return hashlib.sha256(word.encode()).digest()[0] % DIM
 

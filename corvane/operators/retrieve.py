@@ -7,6 +7,8 @@ sent to every task; more are written to the shared folder, where each task reads
 them one at a time, so the chunks are scanned once whatever the number of queries.
 Each task scores some thousands of chunks against a block with matrix products and keeps
 the best of each query, so what is shuffled is top_k rows a query and so many chunks.
+A worker holds the chunks of one pass, bounded in rows and bytes, the scores of CELLS pairs
+and some best rows, whatever the size of its task.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from collections.abc import Iterable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,7 +32,9 @@ from corvane.functions.durable import in_blocks, spread
 MAX_QUERIES = 5000
 ROWS = 256
 #: Chunks of a task that are scored before the best of each query are passed on.
-TOGETHER = 8192
+TOGETHER, TOGETHER_BYTES = 8192, 32 << 20
+#: Pairs of a chunk and a query that are scored at once, and rows of the best that are held before they are cut again.
+CELLS, HELD = 1 << 20, 1 << 18
 _TERM = re.compile(r"[a-z0-9]{2,}")
 f32 = np.float32
 
@@ -80,23 +85,21 @@ class QueryBlock:
         with np.errstate(divide="ignore", invalid="ignore"):
             similarity = np.where(size > 0, (v @ self.vectors.T) / size, f32(0)).astype(f32)
         similarity[~np.isfinite(similarity)] = 0
-        seen: list[np.ndarray] = []
+        overlap = np.zeros((len(texts), len(self.ids)), np.int32)
         phrase = np.zeros((len(texts), len(self.ids)), bool)
         for row, text in enumerate(texts):
             low = (text or "").lower()
             known = np.array([self.terms[t] for t in set(_TERM.findall(low)) if t in self.terms], np.int64)
             each = self.begin[known + 1] - self.begin[known]
             at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(self.begin[known], each)
-            seen.append(self.who[at] + row * len(self.ids))
+            overlap[row] = np.bincount(self.who[at], minlength=len(self.ids))
             phrase[row, self._phrases_in(low)] = True
-        cells = len(texts) * len(self.ids)
-        overlap = np.bincount(np.concatenate([*seen, np.zeros(0, np.int64)]), minlength=cells)[:cells].reshape(len(texts), len(self.ids))
         share = (overlap / self.sizes[None, :]).astype(f32)
         keyword = np.minimum(share * f32(0.15), f32(0.15))
         boost = np.where(phrase, f32(0.08), f32(0))
         penalty = np.where(counts > 800, np.minimum((counts.astype(f32) - f32(800)) / f32(800), f32(0.3)), f32(0)).astype(f32)
         total = ((similarity + keyword) + boost) + f32(0) - penalty[:, None]
-        return {"score": total.astype(f32), "similarity": similarity, "keyword_overlap": overlap.astype(np.int32), "keyword_overlap_norm": share, "keyword_boost": keyword, "phrase_match": phrase, "phrase_boost": boost, "length_penalty": penalty}
+        return {"score": total.astype(f32), "similarity": similarity, "keyword_overlap": overlap, "keyword_overlap_norm": share, "keyword_boost": keyword, "phrase_match": phrase, "phrase_boost": boost, "length_penalty": penalty}
 
 
 def _best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,27 +134,35 @@ class Sent:
         yield self.held.value
 
 
-def _passes(batches: Iterator[pa.RecordBatch], rows: int = TOGETHER) -> Iterator[pa.Table]:
-    """The batches of a task in tables of so many rows or more."""
-    held, n = [], 0
+def _passes(batches: Iterator[pa.RecordBatch], rows: int = TOGETHER, size: int = TOGETHER_BYTES) -> Iterator[pa.Table]:
+    """The batches of a task in tables that end with the batch in which they reach so many rows or bytes."""
+    held, n, held_bytes = [], 0, 0
     for batch in batches:
         held.append(batch)
         n += batch.num_rows
-        if n >= rows:
+        held_bytes += batch.nbytes
+        if n >= rows or held_bytes >= size:
             yield pa.Table.from_batches(held)
-            held, n = [], 0
+            held, n, held_bytes = [], 0, 0
     if n:
         yield pa.Table.from_batches(held)
 
 
-def _best_of_each(own: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k greatest scores of each query, those equal to the k-th included."""
-    order = np.lexsort((-score, own))
-    q, s = own[order], score[order]
+def _best_of_each(own: np.ndarray, score: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """Indices of the k greatest scores of each query; of equal ones those of least place."""
+    order = np.lexsort((place, -score, own))
+    q = own[order]
     begin = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
     size = np.diff(np.append(begin, len(q)))
-    least = np.repeat(s[begin + np.minimum(size, k) - 1], size)
-    return order[s >= least]
+    return order[np.arange(len(q)) - np.repeat(begin, size) < k]
+
+
+def _places(table: pa.Table, columns: list[str]) -> np.ndarray:
+    """The place of each row in the order of some columns, nulls first."""
+    order = np.asarray(pc.sort_indices(table, sort_keys=[(c, "ascending") for c in columns], null_placement="at_start"))
+    places = np.empty(len(order), np.int64)
+    places[order] = np.arange(len(order))
+    return places
 
 
 def _scored(chunks: DataFrame, blocks: Iterable[QueryBlock], top_k: int, by: str, extra: list[str]) -> DataFrame:
@@ -159,20 +170,28 @@ def _scored(chunks: DataFrame, blocks: Iterable[QueryBlock], top_k: int, by: str
     with_vector = "vector" in chunks.columns
 
     def score(table: pa.Table, queries: QueryBlock) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]] = []
-        texts, counts = table.column("text").to_pylist(), np.asarray(table.column("token_count").fill_null(0))
-        vectors = np.array(table.column("vector").to_pylist(), f32) if with_vector else None
-        for at in range(0, table.num_rows, ROWS):
-            scored = queries.score(texts[at : at + ROWS], counts[at : at + ROWS], None if vectors is None else vectors[at : at + ROWS])
+        found: list[dict[str, np.ndarray]] = []
+        places = _places(table, ["doc_ord", "pos"])
+        step = max(1, min(ROWS, CELLS // len(queries.ids)))
+
+        def cut() -> dict[str, np.ndarray]:
+            held = {c: np.concatenate([x[c] for x in found]) for c in found[0]}
+            best = _best_of_each(held["own"], held[by], places[held["row"]], top_k)
+            return {c: v[best] for c, v in held.items()}
+
+        for at in range(0, table.num_rows, step):
+            part = table.slice(at, step)
+            vectors = np.array(part.column("vector").to_pylist(), f32) if with_vector else None
+            scored = queries.score(part.column("text").to_pylist(), np.asarray(part.column("token_count").fill_null(0)), vectors)
             rows, own = _best(scored[by], top_k)
-            found.append((rows + at, own, {c: v[rows] if v.ndim == 1 else v[rows, own] for c, v in scored.items()}))
-        own = np.concatenate([x[1] for x in found])
-        best = _best_of_each(own, np.concatenate([x[2][by] for x in found]), top_k) if len(own) else np.zeros(0, np.int64)
-        rows, own = np.concatenate([x[0] for x in found])[best], own[best]
-        taken = pa.array(rows)
+            found.append({"row": rows + at, "own": own} | {c: v[rows] if v.ndim == 1 else v[rows, own] for c, v in scored.items()})
+            if len(found) > 1 and sum(len(x["row"]) for x in found) > HELD + top_k * len(queries.ids):
+                found = [cut()]
+        best = cut()
+        taken, own = pa.array(best.pop("row")), pa.array(best.pop("own"))
         columns = {x: table.column(x).combine_chunks().take(taken) for x in (*extra, "doc_ord", "doc_id", "pos", "token_count")}
-        columns |= {"query_id": pa.array(queries.ids, pa.string()).take(pa.array(own)), "query_ord": pa.array(queries.orders, pa.int64()).take(pa.array(own)), "metadata_boost": pa.array(np.zeros(len(rows), f32))}
-        columns |= {c: pa.array(np.concatenate([x[2][c] for x in found])[best]) for c in found[0][2]}
+        columns |= {"query_id": pa.array(queries.ids, pa.string()).take(own), "query_ord": pa.array(queries.orders, pa.int64()).take(own), "metadata_boost": pa.array(np.zeros(len(taken), f32))}
+        columns |= {c: pa.array(v) for c, v in best.items()}
         yield pa.RecordBatch.from_pydict({c: columns[c] for c in names})
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,11 +240,12 @@ def phrase_pairs(chunks: DataFrame, queries: DataFrame, max_queries: int = MAX_Q
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _passes(batches):
-            texts = [(x or "").lower() for x in table.column(1).to_pylist()]
             for queries in blocks:
-                hits = [(row, q) for row, text in enumerate(texts) for q in queries._phrases_in(text)]
-                ids = table.column(0).combine_chunks().take(pa.array([r for r, _ in hits], pa.int64()))
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array([queries.ids[q] for _, q in hits], pa.string()), "query_ord": pa.array([queries.orders[q] for _, q in hits], pa.int64()), "doc_id": ids})
+                for at in range(0, table.num_rows, ROWS):
+                    part = table.slice(at, ROWS)
+                    hits = [(row, q) for row, text in enumerate(part.column(1).to_pylist()) for q in queries._phrases_in((text or "").lower())]
+                    ids = part.column(0).combine_chunks().take(pa.array([r for r, _ in hits], pa.int64()))
+                    yield pa.RecordBatch.from_pydict({"query_id": pa.array([queries.ids[q] for _, q in hits], pa.string()), "query_ord": pa.array([queries.orders[q] for _, q in hits], pa.int64()), "doc_id": ids})
 
     return spread(chunks.select("doc_id", "text")).mapInArrow(find, f"query_id string, query_ord bigint, doc_id {kind}").distinct()
 
@@ -263,7 +283,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, max_queries: int
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _passes(batches):
-            own_ids, own = table.column(0).combine_chunks(), unit(table.column(1))
+            own_ids, own, places = table.column(0).combine_chunks(), unit(table.column(1)), _places(table, ["vec_id"])
             for ids, q in blocks:
                 if not len(q):
                     continue
@@ -273,7 +293,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, max_queries: int
                     row, col = _best(scores, k)
                     found.append((row + at, col, scores[row, col]))
                 row, col, value = (np.concatenate(x) for x in zip(*found, strict=True))
-                best = _best_of_each(col, value, k)
+                best = _best_of_each(col, value, places[row], k)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(col[best])), own_ids.take(pa.array(row[best])), pa.array(value[best])], names=["query_id", "vec_id", "score"])
 
     made = spread(vectors.select("vec_id", "vector")).mapInArrow(score, f"query_id {kinds[0]}, vec_id {kinds[1]}, score double")
