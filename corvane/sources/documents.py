@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import re
 from collections.abc import Iterator
 from pathlib import Path
@@ -115,9 +116,15 @@ def read_documents(spark: SparkSession, root: str) -> DataFrame:
     return out
 
 
-def page_documents(pages: DataFrame, url_col: str = "url", html_col: str = "html", least: int = 80) -> DataFrame:
-    """(name, text) of web pages as documents: markup removed, all entities replaced, short pages dropped, their source on top."""
-    import html as entities
+def page_documents(pages: DataFrame, url_col: str = "url", html_col: str = "html", least: int = 80, entities: dict[str, str] | None = None) -> DataFrame:
+    """(name, text) of web pages as documents: markup removed, entities replaced, short pages dropped, their source on top.
+
+    All entities of HTML are replaced, old ones also where their semicolon is missing; with entities, those alone, as written there.
+    """
+    named = re.compile("|".join(map(re.escape, entities))) if entities else None
+
+    def replaced(x: str) -> str:
+        return named.sub(lambda m: entities[m[0]], x) if named else html.unescape(x)
 
     @F.arrow_udf("string")
     def text_of(raw: pa.Array) -> pa.Array:
@@ -127,7 +134,7 @@ def page_documents(pages: DataFrame, url_col: str = "url", html_col: str = "html
                 out.append(None)
                 continue
             x = re.sub(r"(?is)<(script|style).*?>.*?</\1>", " ", x)
-            out.append(" ".join(entities.unescape(re.sub(r"(?s)<[^>]+>", " ", x)).split()))
+            out.append(" ".join(replaced(re.sub(r"(?s)<[^>]+>", " ", x)).split()))
         return pa.array(out, pa.string())
 
     rows = pages.select(F.col(url_col).alias("url"), text_of(F.col(html_col)).alias("body")).where(F.char_length("body") >= least)
