@@ -93,9 +93,13 @@ def ends_mid_sentence(text: Column) -> Column:
 
 
 def overlap_of(a: Column, b: Column, limit: int = 200) -> Column:
-    """The most words, up to the limit, that end the word list a and begin the word list b."""
+    """The most words, up to the limit, that end the word list a and begin the word list b.
+
+    Lists are compared only where their first words are equal.
+    """
     most = F.least(F.size(a), F.size(b), F.lit(limit))
-    fits = F.filter(F.sequence(most, F.lit(1), F.lit(-1)), lambda k: F.slice(a, -k, k) == F.slice(b, 1, k))
+    begins = F.filter(F.sequence(most, F.lit(1), F.lit(-1)), lambda k: F.get(a, F.size(a) - k) == F.get(b, 0))
+    fits = F.filter(begins, lambda k: F.slice(a, -k, k) == F.slice(b, 1, k))
     return F.when(most <= 0, 0).otherwise(F.coalesce(F.get(fits, 0), F.lit(0)))
 
 
