@@ -2,13 +2,16 @@
 
 Runs are (run_ord, run_id, question, answer, retrieved_docs), rules as in schemas.RULE.
 Rules take runs greedily, one each, in order: by id, else by question.  Only ids and
-questions decide that, so only those are gathered; the checks run on the joined rows.
+questions decide that, so only digests of those are gathered, 16 bytes each; the checks run on the joined rows.
 """
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterable
 from pathlib import PurePosixPath
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,7 @@ LOW_OVERLAP = 0.10
 CLAIM_OVERLAP = 0.20
 CLAIM_TOKENS = 4
 PREVIEW = 220
+Key = str | bytes
 MISSING = "<missing run artifact for rule>"
 
 
@@ -26,40 +30,50 @@ def stem(run_id: str) -> str:
     return PurePosixPath(run_id).stem
 
 
-def match(rules: list[tuple[int, str, str]], runs: list[tuple[int, list[str], str]]) -> dict[int, int]:
+def match(rules: Iterable[tuple[int, Key, Key]], runs: Iterable[tuple[int, list[Key], Key]]) -> dict[int, int]:
     """rule number -> run number, for rules (number, id, question) and runs (number, ids, question), all made plain before."""
-    by_id: dict[str, list[int]] = {}
-    by_question: dict[str, list[int]] = {}
+    by_id: dict[Key, deque[int]] = {}
+    by_question: dict[Key, deque[int]] = {}
     for number, ids, question in runs:
         for one in dict.fromkeys(ids):
-            by_id.setdefault(one, []).append(number)
-        by_question.setdefault(question, []).append(number)
+            by_id.setdefault(one, deque()).append(number)
+        by_question.setdefault(question, deque()).append(number)
     used: set[int] = set()
     taken: dict[int, int] = {}
+    nothing: deque[int] = deque()
     for number, rule_id, question in rules:
-        for candidates in (by_id.get(rule_id, ()), by_question.get(question, ())):
-            free = next((r for r in candidates if r not in used), None)
-            if free is not None:
-                used.add(free)
-                taken[number] = free
+        for candidates in (by_id.get(rule_id, nothing), by_question.get(question, nothing)):
+            # A run that is taken stays so: it is passed over once, however many rules ask for it.
+            while candidates and candidates[0] in used:
+                candidates.popleft()
+            if candidates:
+                used.add(candidates[0])
+                taken[number] = candidates.popleft()
                 break
     return taken
 
 
 def matched(rules: DataFrame, runs: DataFrame) -> DataFrame:
-    """(rule_ord, run_ord): which run each rule takes."""
-    spark = rules.sparkSession
-    plain_rules = rules.select("rule_ord", T.bare_id(F.col("id")).alias("i"), T.squeezed(F.col("question")).alias("q")).orderBy("rule_ord").collect()
+    """(rule_ord, run_ord): which run each rule takes, in a table of its own."""
+    digest = lambda x: F.unhex(F.md5(x))
+    plain_rules = materialize(rules.select("rule_ord", digest(T.bare_id(F.col("id"))).alias("i"), digest(T.squeezed(F.col("question"))).alias("q")), "rules")
     file_name = F.regexp_extract("run_id", r"([^/]*)$", 1)
     own_stem = F.when(file_name.rlike(r"^.+\.[^.]*$"), F.regexp_replace(file_name, r"\.[^.]*$", "")).otherwise(file_name)
-    plain_runs = runs.select("run_ord", F.array(T.bare_id(F.col("run_id")), T.bare_id(own_stem)).alias("ids"), T.squeezed(F.col("question")).alias("q"))
+    plain_runs = runs.select("run_ord", digest(T.bare_id(F.col("run_id"))).alias("whole"), digest(T.bare_id(own_stem)).alias("stem"), digest(T.squeezed(F.col("question"))).alias("q"))
+    plain_runs = materialize(plain_runs, "runs")
     # Only runs that some rule could take are gathered: by either of their ids, or by their question.
-    known = spark.createDataFrame([(x,) for x in sorted({r["i"] for r in plain_rules})], "i string"), spark.createDataFrame([(x,) for x in sorted({r["q"] for r in plain_rules})], "k string")
-    by_id = plain_runs.withColumn("i", F.explode("ids")).join(known[0], "i", "left_semi").drop("i")
-    by_question = plain_runs.join(known[1], F.col("q") == F.col("k"), "left_semi")
-    plain_runs = by_id.union(by_question).distinct().orderBy("run_ord").collect()
-    pairs = match([tuple(r) for r in plain_rules], [(r["run_ord"], r["ids"], r["q"]) for r in plain_runs])
-    return spark.createDataFrame(list(pairs.items()), "rule_ord int, run_ord bigint")
+    keys = {c: plain_rules.select(F.col(c).alias("k")).distinct() for c in ("i", "q")}
+    could = [plain_runs.join(keys[k], F.col(c) == F.col("k"), "left_semi").select("run_ord") for c, k in (("whole", "i"), ("stem", "i"), ("q", "q"))]
+    plain_runs = plain_runs.join(could[0].union(could[1]).union(could[2]).distinct(), "run_ord", "left_semi")
+
+    def columns(rows: DataFrame, order: str) -> list[list]:
+        found = rows.toArrow().sort_by(order)
+        return [x.to_pylist() for x in found.columns]
+
+    number, whole, own, question = columns(plain_runs.select("run_ord", "whole", "stem", "q"), "run_ord")
+    pairs = match(zip(*columns(plain_rules, "rule_ord"), strict=True), zip(number, zip(whole, own, strict=True), question, strict=True))
+    made = pa.table({"rule_ord": pa.array(pairs.keys(), pa.int32()), "run_ord": pa.array(pairs.values(), pa.int64())})
+    return materialize(rules.sparkSession.createDataFrame(made), "pairs")
 
 
 def issue(code: str, message: Column) -> Column:
@@ -109,9 +123,9 @@ def checked(joined: DataFrame) -> DataFrame:
     return rows.select("rule_ord", "id", "question", (F.size("issues") == 0).alias("pass"), T.preview(F.col("answer"), PREVIEW).alias("answer_preview"), F.col("n_docs").alias("retrieved_docs"), "grounded_overlap", "unsupported_claims", "issues")
 
 
-def evaluated(rules: DataFrame, runs: DataFrame) -> DataFrame:
-    """A case result for every rule, those without a run included."""
-    pairs = matched(rules, runs)
+def evaluated(rules: DataFrame, runs: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """A case result for every rule, those without a run included; pairs, where they are there already, as of matched()."""
+    pairs = matched(rules, runs) if pairs is None else pairs
     found = runs.join(pairs, "run_ord").select("rule_ord", "answer", "retrieved_docs")
     cases = checked(rules.join(found, "rule_ord"))
     lost = rules.join(pairs.select("rule_ord"), "rule_ord", "left_anti")
@@ -120,9 +134,10 @@ def evaluated(rules: DataFrame, runs: DataFrame) -> DataFrame:
     return cases.unionByName(missing)
 
 
-def unmatched(rules: DataFrame, runs: DataFrame) -> DataFrame:
+def unmatched(rules: DataFrame, runs: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(run_ord, run_id) of the runs that no rule took."""
-    return runs.select("run_ord", "run_id").join(matched(rules, runs), "run_ord", "left_anti")
+    pairs = matched(rules, runs) if pairs is None else pairs
+    return runs.select("run_ord", "run_id").join(pairs, "run_ord", "left_anti")
 
 
 def totals(cases: DataFrame) -> DataFrame:
@@ -132,10 +147,11 @@ def totals(cases: DataFrame) -> DataFrame:
 
 
 def report(rules: DataFrame, runs: DataFrame, run_input: str, rules_input: str) -> dict:
-    cases = materialize(evaluated(rules, runs), "cases")
+    pairs = matched(rules, runs)
+    cases = materialize(evaluated(rules, runs, pairs), "cases")
     total = totals(cases).first().asDict()
     listed = [r.asDict(recursive=True) for r in cases.orderBy("rule_ord").drop("rule_ord").collect()]
-    left = [r["run_id"] for r in unmatched(rules, runs).orderBy("run_ord").collect()]
+    left = [r["run_id"] for r in unmatched(rules, runs, pairs).orderBy("run_ord").collect()]
     return {"run_input": run_input, "rules_input": rules_input, **total, "cases": listed, "unmatched_runs": left}
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.functions.durable import materialize
 
 EXTENSIONS = ("md", "txt", "html", "json")
 FRONT = r"(?s)\A-{3}\s*\n(.*?)\r?\n-{3}\s*"
@@ -80,10 +81,13 @@ def title(text: Column) -> Column:
 
 
 def in_order(rows: DataFrame, key: str) -> DataFrame:
-    """Adds doc_ord, the running number by the key, from 0: numbered within ranges, whose sizes are added up."""
+    """Adds doc_ord, the running number by the key, from 0: numbered within ranges, whose sizes are added up.
+
+    Ranges are drawn from a sample, so they are written once: drawn again, they could be others.
+    """
     ranged = rows.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id())
     within = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
-    marked = ranged.select("*", within.alias("_at"))
+    marked = materialize(ranged.select("*", within.alias("_at")), "order")
     sizes = marked.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select(F.col("_part").alias("_p"), (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     joined = marked.join(F.broadcast(before), F.col("_part") == F.col("_p"))
